@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import lines, mixing, sharding, url_filter
+from gridloom.llm import contamination, language, lines, mixing, secrets, sharding, tokens, url_filter
 
 #: The rules of the URL query (host, path, verdict).
 URL_RULES = [
@@ -21,6 +21,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -31,6 +38,35 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()))
+    out = language.identify(docs, model)
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    every = F.array_sort(F.concat("base_spans", "linked_spans"))
+    return out.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.written(F.col("base_spans")), 256).alias("base_sha256"), secrets.written(every).alias("spans"),
+    )
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination.find_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixing_plan(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     taken = F.aggregate("placements", F.lit(0).cast("long"), lambda a, p: a + F.when(p["shard"] >= 0, p["words"]).otherwise(0))
@@ -60,6 +96,24 @@ FROM keyed LEFT JOIN frequent f ON keyed.k = f.k
 GROUP BY r, doc_id
 """
 
+SQL_OP6 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM iw), dw AS (
+  SELECT r, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS k
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)
+), hits AS (SELECT r, p, dw.n AS n, item_id FROM dw JOIN iw USING (n, k)),
+places AS (SELECT r, count(DISTINCT q)::BIGINT AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM hits)) GROUP BY r),
+named AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN named USING (r)
+"""
+
 SQL_OP8 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -107,12 +161,16 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 
 def queries() -> dict:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_sharding": op2_sharding,
         "op3_line_dedup": op3_line_dedup,
+        "op4_language_id": op4_language_id,
+        "op5_secret_scan": op5_secret_scan,
+        "op6_decontamination": op6_decontamination,
         "op8_mixing": op8_mixing,
         "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_line_dedup": SQL_OP3, "op8_mixing": SQL_OP8, "op10_url_filter": SQL_OP10}
+    return {"op3_line_dedup": SQL_OP3, "op6_decontamination": SQL_OP6, "op8_mixing": SQL_OP8, "op10_url_filter": SQL_OP10}

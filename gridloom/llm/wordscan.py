@@ -103,3 +103,25 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = mix(out * _ROOT + words[k : len(words) - size + 1 + k])
     return out
+
+
+def scan(texts: list[bytes], tables: tuple[np.ndarray, np.ndarray]):
+    """Yields (first, hashes, bounds) for runs of texts of about CHUNK bytes:
+    text ``first + i`` has the words ``hashes[bounds[i]:bounds[i + 1]]``."""
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > CHUNK:
+            hashes = word_hashes(texts[at], tables)
+            yield at, hashes, np.array([0, len(hashes)])
+            at += 1
+            continue
+        end, held = at, 0
+        while end < len(texts) and (held + len(texts[end]) <= CHUNK // 4 or end == at):
+            held += len(texts[end]) + 1
+            end += 1
+        data = np.frombuffer(b" ".join(texts[at:end]), dtype=np.uint8)
+        edges = np.cumsum([0] + [len(x) + 1 for x in texts[at:end]])
+        inside = tables[0][data]
+        starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        yield at, _hash_chunk(data, tables), np.searchsorted(starts, edges)
+        at = end
