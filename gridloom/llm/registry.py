@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import contamination, language, lines, mixing, secrets, sharding, tokens, url_filter
+from gridloom.llm import contamination, language, lines, mixing, neighbours, secrets, sharding, tokens, url_filter
 
 #: The rules of the URL query (host, path, verdict).
 URL_RULES = [
@@ -67,6 +67,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixing_plan(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     taken = F.aggregate("placements", F.lit(0).cast("long"), lambda a, p: a + F.when(p["shard"] >= 0, p["words"]).otherwise(0))
@@ -167,6 +171,7 @@ def queries() -> dict:
         "op4_language_id": op4_language_id,
         "op5_secret_scan": op5_secret_scan,
         "op6_decontamination": op6_decontamination,
+        "op7_neighbours": op7_neighbours,
         "op8_mixing": op8_mixing,
         "op10_url_filter": op10_url_filter,
     }
