@@ -1,3 +1,71 @@
-STAGES = []
+"""A corpus pipeline over ``documents``: language, near duplicates, benchmark
+leaks, source weights, shards.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's ``docs``; all but the last keep
+the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import contamination, language, mixing, near_duplicates, sharding
+from gridloom.llm.storage import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document stays if its language is at least this probable.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters or without a probable language go."""
+    model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()))
+    out = language.identify(docs, model)
+    return out.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents that with the smallest id stays;
+    documents without id or without words all stay."""
+    found = near_duplicates.jaccard_components(docs, percent=80, size=5)
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    out = contamination.find_contamination(docs, benchmark, window=10)
+    return out.where(F.size("hit_spans") == 0).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, repeated or left out so that sources meet their weights."""
+    return mixing.mixed_documents(docs, weights=(3, 1, 2), share=1.5, cap=2.0).select(*COLUMNS)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row with its shard and its slot there."""
+    return sharding.shard_documents(docs, shards=40)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: Language, near duplicates and shards have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): pass
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

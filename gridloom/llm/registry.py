@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import contamination, language, lines, mixing, neighbours, secrets, sharding, tokens, url_filter
+from gridloom.llm import contamination, language, lines, mixing, near_duplicates, neighbours, secrets, sharding, tokens, url_filter
 
 #: The rules of the URL query (host, path, verdict).
 URL_RULES = [
@@ -77,6 +77,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates.jaccard_components(_table(spark, sf_dir, "documents"), percent=90, size=3)
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     out = url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -173,6 +178,7 @@ def queries() -> dict:
         "op6_decontamination": op6_decontamination,
         "op7_neighbours": op7_neighbours,
         "op8_mixing": op8_mixing,
+        "op9_near_duplicates": op9_near_duplicates,
         "op10_url_filter": op10_url_filter,
     }
 
