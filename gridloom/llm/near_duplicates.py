@@ -5,9 +5,10 @@ first, share ``m`` shingles, where each prefix is ``m - 1`` longer than for a
 single match.  Each document picks its own ``m`` by what the longer prefix costs
 and how many candidates it spares; a pair has to share the smaller of its two.
 
-Copies are folded first.  Documents that share a prefix shingle and whose sizes
-are close meet around the smallest of them, their leader; a pair is verified in
-the star of its smallest common leader and nowhere else.  Stars are split into
+Copies are folded first.  Where few documents of similar size share a prefix
+shingle, their pairs are counted and go on with enough matches; where many do,
+they meet around the smallest of them, their leader.  Either way a pair is
+verified in the star of its smallest common leader and nowhere else.  Stars are split into
 cells of bounded size, so neither a pair list nor a task grows with the square
 of a group, and what leaves a cell is a forest of its links and their number.
 """
@@ -35,6 +36,8 @@ SKETCH_PARTS = 64
 MOST_MATCHES = 4
 #: Cost of verifying a candidate, in prefix entries.
 VERIFY_COST = 8.0
+#: Longest run of documents with the same shingle that is spelt out in pairs.
+SHORT_RUN = 8
 #: Members and shingles of a block of a star; a cell holds two blocks at most.
 BLOCK_MEMBERS = 256
 BLOCK_SHINGLES = 1_000_000
@@ -138,37 +141,79 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate(fronts) if fronts else np.empty(0, dtype=np.int64)
         for lo in range(0, len(at), 100_000):
             some = pa.array(at[lo : lo + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[lo : lo + 100_000]), batch.column(1).take(some), batch.column(0).take(some)], names=["token", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[lo : lo + 100_000]), batch.column(1).take(some), batch.column(0).take(some), batch.column(3).take(some)], names=["token", "n", "digest", "matches"])
 
 
 def _leaders(percent: int):
-    """From postings sorted by shingle and size: each document with the leader
-    of its run.  A run ends where sizes are too far apart to link across."""
+    """From postings sorted by shingle and size: (leader, member, need).
+
+    A run ends with its shingle, or where sizes are too far apart to link
+    across.  Short runs give their pairs, with the matches a pair has to
+    collect; in longer ones each member meets the first one, with need 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_token, last_n, leader = None, 0, None
+        held, leader = None, None  # the rows of an open run; its leader if it is long
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            before_t = np.concatenate([[tokens[0] if last_token is None else last_token], tokens[:-1]])
-            before_n = np.concatenate([[last_n], sizes[:-1]])
-            fresh = (tokens != before_t) | (percent * sizes > 100 * before_n)
-            if last_token is None:
-                fresh[0] = True
-            digests = batch.column(2)
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), -1))
-            members = np.flatnonzero(~fresh)
-            if len(members):
-                heads = [leader if s < 0 else digests[s].as_py() for s in start[members].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), digests.take(pa.array(members))], names=["leader", "member"])
-            last_token, last_n = tokens[-1], sizes[-1]
-            if start[-1] >= 0:
-                leader = digests[int(start[-1])].as_py()
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            begins = 0 if held is None or leader is None else held.num_rows
+            rows, starts, held = _runs(table, percent)
+            yield from _meet(rows, starts, leader, begins)
+            open_rows = held.num_rows
+            if len(starts) or leader is None:
+                leader = None
+            if open_rows > SHORT_RUN or leader is not None:
+                first = leader if leader is not None else held.column(2)[0].as_py()
+                skip = begins if leader is not None else 0
+                yield from _star(first, held.column(2)[skip:], leader is None)
+                leader, held = first, held.slice(open_rows - 1)
+        if held is not None and leader is None:
+            yield from _meet(pa.Table.from_batches([held]), np.array([0]), None, 0)
 
     return run
 
 
+def _runs(table: pa.Table, percent: int):
+    """The closed runs' rows and where they start, and the open run's rows."""
+    tokens, sizes = table.column(0).to_numpy(), table.column(1).to_numpy()
+    fresh = (tokens[1:] != tokens[:-1]) | (percent * sizes[1:] > 100 * sizes[:-1])
+    starts = np.concatenate([[0], np.flatnonzero(fresh) + 1])
+    last = int(starts[-1])
+    return table.slice(0, last), starts[:-1], table.slice(last).to_batches()[0]
+
+
+def _star(leader: bytes, members, whole: bool) -> Iterator[pa.RecordBatch]:
+    members = members[1:] if whole else members
+    if len(members):
+        yield pa.RecordBatch.from_arrays([pa.array([leader] * len(members), pa.binary()), members.cast(pa.binary()), pa.array([0] * len(members), pa.int32())], names=["leader", "member", "need"])
+
+
+def _meet(rows: pa.Table, starts: np.ndarray, leader: bytes | None, begins: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of short closed runs and stars of long ones; the first run goes on
+    with ``leader`` from row ``begins`` if there is one."""
+    if not rows.num_rows:
+        return
+    rows = rows.combine_chunks()
+    digests, matches = rows.column(2).chunk(0), rows.column(3).to_numpy()
+    lengths = np.diff(np.append(starts, rows.num_rows))
+    first = 0
+    if leader is not None:
+        yield from _star(leader, digests[begins : int(lengths[0])], False)
+        first = 1
+    for i in np.flatnonzero(lengths[first:] > SHORT_RUN) + first:
+        lo, hi = int(starts[i]), int(starts[i] + lengths[i])
+        yield from _star(digests[lo].as_py(), digests[lo:hi], True)
+    run_of = np.repeat(np.arange(len(starts)), lengths)
+    short = (lengths <= SHORT_RUN) & (np.arange(len(starts)) >= first)
+    for d in range(1, SHORT_RUN):
+        a = np.flatnonzero((run_of[d:] == run_of[:-d]) & short[run_of[d:]])
+        if len(a):
+            need = np.minimum(matches[a], matches[a + d]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([digests.take(pa.array(a)), digests.take(pa.array(a + d)), pa.array(need)], names=["leader", "member", "need"])
+
+
 CELL = ["leader", "low", "high"]
 
 
@@ -277,10 +322,11 @@ def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col
     )
     classes = stored(classes, "classes")
 
-    postings = classes.select("digest", "n", "prefix").mapInArrow(_postings, "token long, n long, digest binary")
+    postings = classes.select("digest", "n", "prefix", "matches").mapInArrow(_postings, "token long, n long, digest binary, matches int")
     runs = postings.repartition("token").sortWithinPartitions("token", "n", "digest")
-    pairs = runs.mapInArrow(_leaders(percent), "leader binary, member binary").distinct()
-    pairs = stored(pairs, "stars")
+    pairs = runs.mapInArrow(_leaders(percent), "leader binary, member binary, need int")
+    pairs = pairs.groupBy("leader", "member").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("least"), F.max("need").alias("most"))
+    pairs = stored(pairs.where((F.col("least") == 0) | (F.col("shared") >= F.col("most"))).select("leader", "member"), "stars")
     members = pairs.unionByName(pairs.select("leader", F.col("leader").alias("member")).distinct())
 
     # a member with its text, once, wherever it goes from here
