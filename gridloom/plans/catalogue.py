@@ -50,7 +50,7 @@ areas AS (SELECT i::INT AS lat_idx, 6.371e6 * 6.371e6 * radians(20e0) * (sin(rad
 rm AS (SELECT lat_idx, lon_idx, sum(value * d) / sum(d) AS value FROM r GROUP BY ALL),
 cm AS (SELECT lat_idx, lon_idx, sum(value * d) / sum(d) AS value FROM c GROUP BY ALL),
 rs AS (SELECT lat_idx, lon_idx, sqrt(sum(d * (r.value - rm.value) * (r.value - rm.value)) / sum(d)) AS norm FROM r JOIN rm USING (lat_idx, lon_idx) GROUP BY ALL),
-bias AS (SELECT lat_idx, lon_idx, rm.value AS ref, norm, cm.value AS com, cm.value - rm.value AS bias, exp(-abs(cm.value - rm.value) / norm) AS score FROM rm JOIN rs USING (lat_idx, lon_idx) FULL JOIN cm USING (lat_idx, lon_idx)),
+bias AS (SELECT lat_idx, lon_idx, rm.value AS ref, norm, cm.value AS com, cm.value - rm.value AS bias, exp(-abs(cm.value - rm.value) / nullif(norm, 0)) AS score FROM rm JOIN rs USING (lat_idx, lon_idx) FULL JOIN cm USING (lat_idx, lon_idx)),
 sr AS (SELECT year, month, sum(l_extendedprice) / 1e6 AS value, any_value(d) AS d FROM li JOIN days USING (month) WHERE l_linestatus = 'F' GROUP BY year, month),
 sc AS (SELECT year, month, sum(l_extendedprice) / 1e6 AS value, any_value(d) AS d FROM li JOIN days USING (month) WHERE l_linestatus = 'O' GROUP BY year, month),
 sites AS (SELECT c_nationkey AS site_id, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, avg(o_totalprice) AS value, -84e0 + 7 * c_nationkey AS lat, -168e0 + 14 * c_nationkey AS lon FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
@@ -438,7 +438,7 @@ def bias_quantiles(spark, d):
 @query("""WITH p AS (SELECT lat_idx, lon_idx, d, r.value AS rv, c.value AS cv FROM r JOIN c USING (lat_idx, lon_idx, year, month, d)),
 m AS (SELECT lat_idx, lon_idx, sum(rv * d) / sum(d) AS mr, sum(cv * d) / sum(d) AS mc FROM p GROUP BY ALL)
 SELECT lat_idx, lon_idx, round(sqrt(sum(d * (cv - rv) ** 2) / sum(d)), 6) AS rmse, round(sqrt(sum(d * ((cv - mc) - (rv - mr)) ** 2) / sum(d)), 6) AS crmse, round(sqrt(sum(d * (rv - mr) ** 2) / sum(d)), 6) AS crms,
-round(exp(-sqrt(sum(d * ((cv - mc) - (rv - mr)) ** 2) / sum(d)) / sqrt(sum(d * (rv - mr) ** 2) / sum(d))), 6) AS score FROM p JOIN m USING (lat_idx, lon_idx) GROUP BY ALL""")
+round(exp(-sqrt(sum(d * ((cv - mc) - (rv - mr)) ** 2) / sum(d)) / nullif(sqrt(sum(d * (rv - mr) ** 2) / sum(d)), 0)), 6) AS score FROM p JOIN m USING (lat_idx, lon_idx) GROUP BY ALL""")
 def rmse(spark, d):
     return analyses.rmse_maps(_ref(spark, d), _com(spark, d), days())
 
