@@ -60,3 +60,8 @@ def season(month: Column) -> Column:
 
 def water_year(year: Column, month: Column) -> Column:
     return F.when(month > 9, year).otherwise(year - 1)
+
+
+def scalar_uncertainty(value: Column, lo: Column, hi: Column) -> Column:
+    """The root of the squared distances to both bounds."""
+    return F.sqrt(F.pow(value - lo, 2) + F.pow(value - hi, 2))

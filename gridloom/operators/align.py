@@ -79,3 +79,34 @@ def neighbourhood_mean(pairs: DataFrame, site: str, value: str, weighted: bool =
     v = F.col(f"src_{value}")
     w = 1 / F.greatest(F.col("distance"), F.lit(0.1)) if weighted else F.lit(1.0)
     return pairs.groupBy(site).agg((F.sum(v * w) / F.sum(F.when(v.isNotNull(), w))).alias(value))
+
+
+def nearest_axis(spark: SparkSession, target: np.ndarray, source: np.ndarray, name: str, extend: bool = True) -> DataFrame:
+    """The source point nearest to each target point, as ``name``_to and
+    ``name``_from; ties to the larger coordinate, and beyond the source's ends
+    its end or, without ``extend``, nothing."""
+    rows = []
+    for k, at in enumerate(target):
+        if extend or source.min() <= at <= source.max():
+            gap = np.abs(source - at)
+            rows.append((k, int(max(np.flatnonzero(np.isclose(gap, gap.min(), rtol=0, atol=1e-9)), key=lambda i: source[i]))))
+    return spark.createDataFrame(rows, f"{name}_to int, {name}_from int")
+
+
+def regrid_nearest(df: DataFrame, lat: DataFrame, lon: DataFrame) -> DataFrame:
+    """Values, or the labels of a raster, at the nearest source cell."""
+    moved = df.join(F.broadcast(lat), F.col("lat_idx") == F.col("lat_from")).join(F.broadcast(lon), F.col("lon_idx") == F.col("lon_from"))
+    kept = [c for c in df.columns if c not in ("lat_idx", "lon_idx")]
+    return moved.select(F.col("lat_to").alias("lat_idx"), F.col("lon_to").alias("lon_idx"), *kept)
+
+
+def common_timescale(ref: DataFrame, com: DataFrame, ref_days: float, com_days: float, keys: list[str]) -> DataFrame:
+    """The comparison at the reference's steps: as it is within three days, or
+    as monthly or annual means of finer steps."""
+    if abs(ref_days - com_days) <= 3:
+        return com
+    if abs(ref_days - 30) <= 3 and com_days < 28:
+        return com.groupBy(*keys, "year", "month").agg(F.avg("value").alias("value"))
+    if abs(ref_days - 365) <= 6 and com_days < 350:
+        return com.groupBy(*keys, "year").agg(F.avg("value").alias("value"))
+    raise ValueError(f"steps of {com_days} days can't be brought to {ref_days} days")

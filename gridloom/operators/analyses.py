@@ -154,3 +154,34 @@ def timeseries_scores(ref: DataFrame, com: DataFrame, weight: Column) -> DataFra
         (F.sqrt(weighted_mean(F.pow("dc", F.lit(2)), weight)) / F.sqrt(weighted_mean(F.pow("dr", F.lit(2)), weight))).alias("std"), F.corr("r", "c").alias("corr"),
     )
     return out.withColumn("bias_score", exponential(F.abs((F.col("com_mean") - F.col("ref_mean")) / F.col("ref_mean")))).withColumn("taylor_score", taylor(F.col("std"), F.col("corr")))
+
+
+def bias_with_uncertainty(ref: DataFrame, com: DataFrame, unsure: DataFrame, weight: Column, cell: list[str] = CELL) -> DataFrame:
+    """Bias maps whose score leaves out what ``unsure`` (cell, uncertainty) covers."""
+    maps = bias_maps(ref, com, weight, cell).join(unsure, cell, "left")
+    off = F.greatest(F.abs(F.col("bias")) - F.coalesce("uncertainty", F.lit(0.0)), F.lit(0.0))
+    return maps.withColumn("score", F.when(F.col("bias").isNotNull(), exponential(F.try_divide(off, F.abs(F.col("norm"))))))
+
+
+def seasonal_bias(ref: DataFrame, com: DataFrame, keys: list[str]) -> DataFrame:
+    """Per cell and season of the calendar: both day-weighted means, their bias."""
+    mean = lambda df, n: df.groupBy(*keys, season(F.col("month")).alias("season")).agg(weighted_mean(F.col("value"), month_days(F.col("month"))).alias(n))
+    return mean(ref, "ref").join(mean(com, "com"), [*keys, "season"]).withColumn("bias", F.col("com") - F.col("ref"))
+
+
+def relationship_score(ref: DataFrame, com: DataFrame, n: int = 25) -> DataFrame:
+    """One score of two responses in the reference's bins.
+
+    A bin that either leaves out counts with the reference's whole mean, and
+    points of the comparison outside the range go to the bins at its ends.
+    """
+    span = ref.agg(F.min("ind").alias("lo"), F.max("ind").alias("hi"))
+
+    def response(df: DataFrame, mean: str, held: str) -> DataFrame:
+        at = F.least(F.lit(n - 1), F.greatest(F.lit(0), bin_of(F.col("ind"), F.col("lo"), F.col("hi"), n))).alias("bin")
+        out = df.join(F.broadcast(span), F.lit(True)).groupBy(at).agg(F.count(F.lit(1)).alias("k"), F.avg("dep").alias(mean))
+        return out.select("bin", mean, (F.col("k") / F.sum("k").over(Window.partitionBy()) >= 0.003).alias(held))
+
+    both = response(ref, "r", "r_held").join(response(com, "c", "c_held"), "bin", "left")
+    gap = F.when(F.col("r_held") & F.coalesce("c_held", F.lit(False)), F.pow(F.col("r") - F.col("c"), 2)).otherwise(F.pow("r", F.lit(2)))
+    return both.agg(exponential(F.try_divide(F.sqrt(F.sum(gap)), F.sqrt(F.sum(F.pow("r", F.lit(2)))))).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,74 @@ def scalars_to_map(cells: DataFrame, regions: DataFrame, scalars: DataFrame) ->
     """Cells with the sum of the scalars of all regions over them, or NULL."""
     covered = in_box(cells, regions).join(scalars, "region").groupBy("lat_idx", "lon_idx").agg(F.sum("scalar").alias("value"))
     return cells.select("lat_idx", "lon_idx").join(covered, ["lat_idx", "lon_idx"], "left")
+
+
+class Regions:
+    """Labels with their names, sources and either boxes or rasters.
+
+    Boxes are a table of their own; a raster is a DataFrame (label, lat_idx,
+    lon_idx) of the cells of its regions.
+    """
+
+    def __init__(self) -> None:
+        self._boxes = {r[0]: r for r in BOXES}
+        self._rasters: dict[str, tuple[str, str, DataFrame]] = {}
+        self._sources = dict.fromkeys(self._boxes, "built in")
+
+    def add_box(self, label: str, name: str, south: float, north: float, west: float, east: float, source: str = "user") -> None:
+        self._checked(label)
+        self._boxes[label], self._sources[label] = (label, name, float(south), float(north), float(west), float(east)), source
+
+    def add_raster(self, cells: DataFrame, names: dict[str, str], source: str = "user") -> list[str]:
+        for label, name in names.items():
+            self._checked(label)
+            self._rasters[label], self._sources[label] = (label, name, cells), source
+        return list(names)
+
+    @staticmethod
+    def _checked(label: str) -> None:
+        if not re.fullmatch("[a-z0-9]+", label):
+            raise ValueError(f"labels have small letters and digits only, not {label!r}")
+
+    def name(self, label: str) -> str:
+        return self._held(label)[1]
+
+    def source(self, label: str) -> str:
+        self._held(label)
+        return self._sources[label]
+
+    def _held(self, label: str):
+        found = self._boxes.get(label) or self._rasters.get(label)
+        if found is None:
+            raise ValueError(f"unknown region {label!r}")
+        return found
+
+    def mask(self, cells: DataFrame, label: str | None, trim: bool = True, value: str = "value") -> DataFrame:
+        """The cells of a region; without ``trim`` others stay with missing values."""
+        if label is None:
+            return cells
+        found = self._held(label)
+        if label in self._boxes:
+            _, _, south, north, west, east = found
+            held = F.col("lat").between(south, north) & F.col("lon").between(west, east)
+            return cells.where(held) if trim else cells.withColumn(value, F.when(held, F.col(value)))
+        inside = found[2].where(F.col("label") == label).select("lat_idx", "lon_idx").distinct()
+        if trim:
+            return cells.join(inside, ["lat_idx", "lon_idx"], "left_semi")
+        marked = cells.join(inside.withColumn("__in", F.lit(True)), ["lat_idx", "lon_idx"], "left")
+        return marked.withColumn(value, F.when(F.col("__in"), F.col(value))).select(*cells.columns)
+
+
+def nearest_box(cells: DataFrame, axis: str, lo: float, hi: float) -> DataFrame:
+    """Cells from the axis point nearest to ``lo`` to that nearest to ``hi``,
+    which may lie outside; ties to the larger coordinate."""
+    points = cells.select(axis).distinct()
+    near = lambda at, name: F.min(F.struct(F.abs(F.col(axis) - at).alias("gap"), (-F.col(axis)).alias("minus"))).alias(name)
+    ends = points.agg(near(lo, "a"), near(hi, "b")).select((-F.col("a.minus")).alias("__lo"), (-F.col("b.minus")).alias("__hi"))
+    return cells.join(F.broadcast(ends), F.col(axis).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+
+
+def quantile_map(cells: DataFrame, regions: DataFrame, database: DataFrame, variable: str, quantile: int, kind: str = "bias") -> DataFrame:
+    """Cells with the sum of a variable's quantile over the regions on them."""
+    chosen = database.where((F.col("quantile") == quantile) & (F.col("type") == kind) & (F.col("variable") == variable))
+    return scalars_to_map(cells, regions, chosen.select("region", F.col("value").alias("scalar")))

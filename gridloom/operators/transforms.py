@@ -82,3 +82,18 @@ def ocean_heat(df: DataFrame, volume: Column, value: str = "value") -> DataFrame
 def overturning_maximum(df: DataFrame, basin: int, lat_idx: int, value: str = "value") -> DataFrame:
     """The maximum over depth in a basin at a latitude."""
     return df.where((F.col("basin") == basin) & (F.col("lat_idx") == lat_idx)).groupBy("year", "month").agg(F.max(value).alias("value"))
+
+
+def interval_select(axis: DataFrame, lo: float, hi: float, name: str = "lat") -> DataFrame:
+    """Cells (``name``, lo, hi) that hold ``lo`` to ``hi``, the outer ones
+    clipped and their centres moved; a cell that only touches is left out."""
+    met = axis.where((F.col("hi") > lo) & (F.col("lo") < hi))
+    low, high = F.greatest("lo", F.lit(lo)), F.least("hi", F.lit(hi))
+    clipped = (low != F.col("lo")) | (high != F.col("hi"))
+    return met.withColumns({name: F.when(clipped, (low + high) / 2).otherwise(F.col(name)), "lo": low, "hi": high})
+
+
+def first_difference(value: Column, keys: list[str], order: list[str]) -> Column:
+    """Less the first value along ``order``."""
+    along = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return value - F.first(value).over(along)
