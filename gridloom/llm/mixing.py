@@ -57,7 +57,7 @@ def mixing_plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int = 10_000,
     max_buckets: int = 4096,
 ) -> DataFrame:
     """All columns of ``docs`` with ``size`` (words), ``source_size``,
