@@ -24,7 +24,7 @@ def shard_documents(
     seed: int = 20240,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rows_per_cell: int = 250_000,
+    rows_per_cell: int = 64_000,
     max_blocks: int = 4096,
     max_cells: int = 256,
 ) -> DataFrame:
