@@ -15,17 +15,24 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 #: Parts that count only in company: tokens of letters and digits, and service addresses.
-WEAK_SECRET = r"(?<![A-Za-z0-9/+=_-])(?=[A-Za-z/+_-]*[0-9])(?=[0-9/+_-]*[A-Za-z])[A-Za-z0-9/+_-]{20,}+={0,2}"
+#: A token or assigned value that is too short without its access identifiers is no secret.
+WEAK_SECRET = r"(?<![A-Za-z0-9/+_-])(?=[A-Za-z/+_-]*[0-9])(?=[0-9/+_-]*[A-Za-z])(?!(?:[A-Za-z0-9/+_-]{0,19}?AKIA[A-Z0-9]{16,}+)++[A-Za-z0-9/+_-]{0,19}+(?![A-Za-z0-9/+_-]))[A-Za-z0-9/+_-]{20,}+={0,2}"
+ASSIGNED = ASSIGN.replace("([", "(?!(?:[A-Za-z0-9+/_.=-]{0,5}?AKIA[A-Z0-9]{16,}+)++[A-Za-z0-9+/_.=-]{0,5}+(?![A-Za-z0-9+/_.=-]))([")
 ENDPOINT = r"""(?i:https?|s3|ftp|postgres|mysql|mongodb|redis|amqp)://[^\x00-\x20"'<>]+"""
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def spans(text: Column, pattern: str, kind: int, least_value: int = 0) -> Column:
+def spans(text: Column, pattern: str, kind: int, least_value: int = 0, value_only: bool = False) -> Column:
     """array<struct<start, kind, end>> of the leftmost matches that don't
-    overlap, in code points, end exclusive."""
+    overlap, in code points, end exclusive; with ``value_only`` of the values
+    that end them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own"), _value_length(m, pattern, least_value).alias("value")))
+
+    def start(a: Column, x: Column) -> Column:
+        return (a["at"] + x["gap"] + x["own"] - x["value"]) if value_only else (a["at"] + x["gap"])
+
     placed = F.aggregate(
         lengths,
         F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
@@ -33,7 +40,7 @@ def spans(text: Column, pattern: str, kind: int, least_value: int = 0) -> Column
             (a["at"] + x["gap"] + x["own"]).alias("at"),
             F.when(
                 x["value"] >= least_value,
-                F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + x["gap"] + x["own"]).alias("end")))),
+                F.concat(a["out"], F.array(F.struct(start(a, x).alias("start"), F.lit(kind).alias("kind"), (a["at"] + x["gap"] + x["own"]).alias("end")))),
             )
             .otherwise(a["out"])
             .alias("out"),
@@ -54,8 +61,8 @@ def written(all_spans: Column) -> Column:
 
 def linked_parts(parts: DataFrame, scope: int) -> DataFrame:
     """The interval join: of (``row``, ``part`` struct<start, kind, end>) the
-    weak secrets with an access identifier within ``scope`` code points, and
-    the endpoints with both an access identifier and a weak secret there.
+    secrets with an access identifier within ``scope`` code points, and
+    the endpoints with both an access identifier and a secret there.
 
     One sweep along each row's parts finds the nearest part of a kind on either
     side, so no pairs arise however many parts a text has.
@@ -81,8 +88,9 @@ def find_secrets(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text
 
     Base spans are the matches of the single patterns.  Linked spans are weak
     parts, reported only where their complement stands within ``scope`` code
-    points of the same text; weak secrets that overlap a base span aren't
-    repeated.  A null text is empty; repeated rows get equal spans; columns
+    points of the same text: an access identifier for a weak secret, and for an
+    endpoint an access identifier and a secret, weak or the value of an assign
+    span; weak secrets that overlap a base span aren't repeated.  A null text is empty; repeated rows get equal spans; columns
     named like the added ones are replaced.
     """
     base = without(docs, "base_spans", "linked_spans")
@@ -93,8 +101,9 @@ def find_secrets(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text
 
     some = base.where(F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS))
     weak = F.concat(spans(text, WEAK_SECRET, kind["secret"]), spans(text, ENDPOINT, kind["endpoint"]))
-    some = some.select(row.alias("row"), spans(text, ACCESS, kind["access"]).alias("access"), weak.alias("weak")).where(F.size("weak") > 0)
-    linked = linked_parts(some.select("row", F.explode(F.concat("access", "weak")).alias("part")), scope)
+    strong = F.concat(spans(text, ACCESS, kind["access"]), spans(text, ASSIGNED, kind["secret"], 6, value_only=True))
+    some = some.select(row.alias("row"), strong.alias("strong"), weak.alias("weak")).where(F.size("weak") > 0)
+    linked = linked_parts(some.select("row", F.explode(F.concat("strong", "weak")).alias("part")), scope)
 
     out = base.withColumn("base_spans", found).withColumn("__row", row).join(linked.withColumnRenamed("row", "__row"), "__row", "left")
     free = F.filter(
