@@ -20,6 +20,10 @@ _BREAK = re.compile(r"[\W\d_]")
 LONGEST = 4
 #: Unseen words whose vector a worker remembers.
 REMEMBERED = 200_000
+#: N-grams of a word that are summed at a time.
+GRAMS = 1 << 14
+#: Longest unseen word that is remembered.
+SHORT_WORD = 64
 #: Characters of a text that are split into words at a time.
 SLICE = 1 << 20
 
@@ -72,13 +76,18 @@ class WordFirstModel:
         found = self.seen.get(word)
         if found is None:
             found = np.zeros(len(self.languages))
-            padded = f"<{word[:64]}>"
+            padded = f"<{word}>"
             for k in range(min(LONGEST, len(padded)), 0, -1):
-                known = [g for i in range(len(padded) - k + 1) if (g := self.grams[k].get(padded[i : i + k])) is not None]
-                if known:
-                    found = np.mean(known, axis=0)
+                total, n = np.zeros(len(self.languages)), 0
+                for at in range(0, len(padded) - k + 1, GRAMS):
+                    known = [g for i in range(at, min(at + GRAMS, len(padded) - k + 1)) if (g := self.grams[k].get(padded[i : i + k])) is not None]
+                    if known:
+                        total += np.sum(known, axis=0)
+                        n += len(known)
+                if n:
+                    found = total / n
                     break
-            if len(self.seen) < REMEMBERED:
+            if len(word) <= SHORT_WORD and len(self.seen) < REMEMBERED:
                 self.seen[word] = found
         return found
 

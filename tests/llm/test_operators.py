@@ -145,6 +145,18 @@ def test_language_odd_rows(docs, empty):
     assert language.WordFirstModel({("a", "x"): 1}).predict("²³")[0] == "und"
 
 
+def test_language_of_long_runs(monkeypatch):
+    model = language.WordFirstModel({("a", "abab"): 3, ("b", "cdcd"): 3})
+    text = "ab" * 40 + "cd" * 400
+    assert model.predict(text)[0] == "b" and model.predict("cd" * 40 + "ab" * 400)[0] == "a"
+    assert not model.seen
+    padded = f"<{text}>"
+    known = [g for i in range(len(padded) - 3) if (g := model.grams[4].get(padded[i : i + 4])) is not None]
+    for grams in (7, 1 << 14):
+        monkeypatch.setattr(language, "GRAMS", grams)
+        assert np.allclose(model.backoff(text), np.mean(known, axis=0), rtol=1e-12)
+
+
 def base_spans(text):
     found = []
     for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
