@@ -24,7 +24,7 @@ from gridloom.llm.storage import stored
 
 #: Points in a bucket of a cell's tree.
 BUCKET = 256
-RESULT = "query_id long, vec_id long, score double"
+RESULT = "key long, query_id long, vec_id long, score double"
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
@@ -165,7 +165,8 @@ def nearest(
     own cell bounds its k-th distance, a second visits the cells within reach.
     Unusable vectors (see ``usable``), rows without id, and vectors of another
     length than most take no part.  Rows with the query's id are not its
-    candidates; repeated rows are candidates of their own.
+    candidates; repeated rows are candidates of their own.  Each query row, a
+    repeated one or one of several under an id too, has ranks from 1 of its own.
     """
     if dims % 2:
         raise ValueError("dims must be even")
@@ -190,11 +191,11 @@ def nearest(
             p = (np.stack(v) if len(v) else np.empty((0, length))) @ weights
             yield pd.DataFrame({"p": list(p), "leaf": [deal.leaf(x) for x in p]})
 
-    placed = stored(rows.withColumn("x", project("v")).select("id", "v", F.coalesce("q", F.lit(False)).alias("q"), "x.p", "x.leaf"), "projections")
+    placed = stored(rows.withColumn("x", project("v")).select(F.monotonically_increasing_id().alias("key"), "id", "v", F.coalesce("q", F.lit(False)).alias("q"), "x.p", "x.leaf"), "projections")
     filled = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
     parts = F.element_at(F.create_map(*(F.lit(x) for leaf, n in filled.items() for x in (leaf, math.ceil(n / cell_rows)))), F.col("leaf"))
     part_of = F.pmod(F.xxhash64("id"), parts).cast("int")
-    queries = placed.where("q").select("id", "v", "p", "leaf")
+    queries = placed.where("q").select("key", "id", "v", "p", "leaf")
 
     def met(asked: DataFrame, find, schema: str) -> DataFrame:
         """Candidates and queries by cell and block of queries."""
@@ -203,7 +204,7 @@ def nearest(
             return spark.createDataFrame([], schema)
         blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for leaf, n in busy.items() for x in (leaf, math.ceil(n / block_queries)))), F.col("leaf")), F.lit(0))
         cands = placed.select("id", "v", "p", "leaf", part_of.alias("part"), F.explode(F.sequence(F.lit(1), blocks)).alias("block")).where(blocks > 0)
-        asked = asked.withColumn("block", (F.pmod(F.xxhash64("id", F.lit(1)), blocks) + 1).cast("int"))
+        asked = asked.withColumn("block", (F.pmod(F.xxhash64("key", F.lit(1)), blocks) + 1).cast("int"))
         cell = ["leaf", "part", "block"]
         return asked.groupBy(*cell).cogroup(cands.groupBy(*cell)).applyInPandas(find, schema)
 
@@ -214,13 +215,13 @@ def nearest(
         found = []
         if len(asked) and len(c):
             index = tree(c)
-            for i, v, p in zip(asked["id"], asked["v"], asked["p"], strict=True):
+            for key, i, v, p in zip(asked["key"], asked["id"], asked["v"], asked["p"], strict=True):
                 d, _ = index.search(i, np.asarray(v), np.asarray(p), k, limit, np.inf)
-                found.append((i, v, p, float(d[-1]) if len(d) == k else None))
-        return pd.DataFrame(found, columns=["id", "v", "p", "bound"])
+                found.append((key, i, v, p, float(d[-1]) if len(d) == k else None))
+        return pd.DataFrame(found, columns=["key", "id", "v", "p", "bound"])
 
     home = queries.withColumn("part", part_of)
-    bounded = stored(met(home, bound, "id long, v array<double>, p array<double>, bound double"), "bounds")
+    bounded = stored(met(home, bound, "key long, id long, v array<double>, p array<double>, bound double"), "bounds")
 
     @F.pandas_udf("array<int>")
     def reach(points: pd.Series, bounds: pd.Series) -> pd.Series:
@@ -234,10 +235,10 @@ def nearest(
         out = []
         if len(asked) and len(c):
             index = tree(c)
-            for i, v, p, b in zip(asked["id"], asked["v"], asked["p"], asked["bound"], strict=True):
+            for key, i, v, p, b in zip(asked["key"], asked["id"], asked["v"], asked["p"], asked["bound"], strict=True):
                 d, ids = index.search(i, np.asarray(v), np.asarray(p), k, limit, np.inf if b is None or np.isnan(b) else b)
-                out += [(i, int(j), math.sqrt(x)) for x, j in zip(d, ids, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                out += [(key, i, int(j), math.sqrt(x)) for x, j in zip(d, ids, strict=True)]
+        return pd.DataFrame(out, columns=["key", "query_id", "vec_id", "score"])
 
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    best = F.row_number().over(Window.partitionBy("key").orderBy("score", "vec_id"))
     return met(sent, verify, RESULT).withColumn("rank", best).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -250,6 +250,19 @@ def test_neighbours_recall(spark):
     assert neighbours.nearest(frame.where("vec_id in (100, 5, 6)"), F.col("vec_id") % 100 == 0).count() == 2
 
 
+def test_neighbours_of_repeated_queries(spark):
+    rng = np.random.default_rng(8)
+    data = [[float(x) for x in v] for v in rng.standard_normal((60, 8))]
+    rows = list(enumerate(data)) + [(0, data[0])] * 2 + [(0, data[5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame, F.col("vec_id") == 0, confidence=1 - 1e-9, block_queries=2).collect()
+    expect = Counter()
+    for q in [data[0]] * 3 + [data[5]]:
+        near = sorted((float(np.sqrt(((np.array(v) - q) ** 2).sum())), i) for i, v in rows if i != 0)[:10]
+        expect.update((rank, i, round(d, 9)) for rank, (d, i) in enumerate(near, 1))
+    assert Counter((r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == expect
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mixing_plan(docs, rows_per_bucket=20, block_words=50).collect()
     sizes = Counter()
