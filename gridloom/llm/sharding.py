@@ -33,8 +33,9 @@ def shard_documents(
 
     Shard sizes in rows differ by one at most; every assignment with these
     sizes is equally likely.  Nulls: a null text counts as empty, a null id is
-    hashed like a value.  Repeated rows are rows of their own; equal rows may
-    swap their slots.  An empty table gives an empty table.  Columns of ``docs``
+    hashed like a value.  Repeated rows are numbered and permuted like other
+    rows; equal rows may swap their slots.  Rows that repeat an id and text more
+    often than a sixteenth of a block are counted, and dealt over all blocks.  An empty table gives an empty table.  Columns of ``docs``
     named like the added ones are replaced.  ``rows_per_cell`` bounds the rows
     of a task until ``max_blocks`` and ``max_cells`` (a shard) are reached;
     beyond, cells grow.
@@ -45,17 +46,21 @@ def shard_documents(
     blocks = max(1, min(max_blocks, math.ceil(n / rows_per_cell)))
     cells = max(1, min(max_cells, math.ceil(n / shards / rows_per_cell)))
 
-    def hashed(k: int):
-        return F.xxhash64(F.lit(seed + k), F.col(id_col), F.col(text_col))
-
     text = text_or_empty(text_col)
-    keyed = base.select(
+    same = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    keyed = base.withColumn("__same", same).withColumn("__copy", F.lit(None).cast("long"))
+    often = max(1, max(rows_per_cell, n // blocks) // 16)
+    hot = [] if blocks == 1 else base.groupBy(same.alias("__same")).count().where(F.col("count") > often).select("__same").collect()
+    if hot:
+        keyed = _hot_numbered(keyed, F.broadcast(spark.createDataFrame(hot, "__same long")), base.columns, often)
+    place_of = F.coalesce("__copy", F.lit(-1).cast("long"))
+    keyed = keyed.select(
         *(F.col(f"`{c}`") for c in base.columns),
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.floor(unit(hashed(0)) * blocks).cast("int").alias("__block"),
-        hashed(1).alias("__first"),
-        hashed(2).alias("__again"),
+        F.floor(unit(F.xxhash64(F.lit(seed), "__same", place_of)) * blocks).cast("int").alias("__block"),
+        "__same",
+        "__copy",
     )
     filled = keyed.groupBy("__block").agg(F.count(F.lit(1)).alias("n"))
     sizes = (
@@ -79,8 +84,12 @@ def shard_documents(
     per_shard = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda s: F.element_at("ends", s * cells))
     matrix = matrix.select(F.col("leaf").alias("__block"), ends.alias("ends")).select("__block", "ends", per_shard.alias("shard_ends"))
 
+    # equal rows of a block get numbers, so that their ranks and slots differ like those of other rows
+    twins = F.row_number().over(Window.partitionBy("__block", "__same").orderBy("text_crc32")).cast("long")
+    numbered = keyed.repartition("__block").withColumn("__copy", F.when(F.col("__copy").isNull(), -twins).otherwise(F.col("__copy")))
+    numbered = numbered.withColumns({f"__{k}": F.xxhash64(F.lit(seed + i), "__same", "__copy") for i, k in ((1, "first"), (2, "again"))}).drop("__same", "__copy")
     order = ["__first", id_col, "text_crc32"]
-    ranked = keyed.withColumn("__rank", F.row_number().over(Window.partitionBy("__block").orderBy(*order)).cast("long"))
+    ranked = numbered.withColumn("__rank", F.row_number().over(Window.partitionBy("__block").orderBy(*order)).cast("long"))
     dealt = ranked.join(matrix, "__block").withColumn("shard", F.size(F.filter("shard_ends", lambda e: e < F.col("__rank"))))
     if cells > 1:
         within = F.filter(F.slice(F.col("ends"), F.col("shard") * cells + 1, F.lit(cells)), lambda e: e < F.col("__rank"))
@@ -95,3 +104,17 @@ def shard_documents(
         dealt.withColumn("slot", (before + place - 1).cast("long"))
         .select(*(F.col(f"`{c}`") for c in base.columns), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")
     )
+
+
+def _hot_numbered(keyed: DataFrame, hot: DataFrame, columns: list[str], often: int) -> DataFrame:
+    """``keyed`` with ``__copy`` from 0 in the rows whose ``__same`` is in
+    ``hot``: equal rows are folded to counts where they lie, then spelt out
+    again in chunks of ``often``, so that no task holds all of them."""
+    names = [f"`{c}`" for c in columns]
+    counts = keyed.join(hot, "__same", "left_semi").groupBy("__same", *names).agg(F.count(F.lit(1)).alias("__n"))
+    # rows that differ in other columns only are not equal: each kind has numbers of its own
+    kind = F.xxhash64("__same", F.to_json(F.struct(*names)))
+    chunks = counts.withColumn("__same", kind).withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(often).cast("long"))))
+    dealt = chunks.repartition(F.xxhash64("__same", "__from"))
+    spelt = dealt.withColumn("__copy", F.explode(F.sequence("__from", F.least(F.col("__from") + often, "__n") - 1)))
+    return keyed.join(hot, "__same", "left_anti").select(*names, "__same", "__copy").unionByName(spelt.select(*names, "__same", "__copy"))

@@ -111,6 +111,24 @@ def test_shards_are_even_and_gapless(docs, rows, per_cell):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
+@pytest.mark.parametrize("per_cell", [64_000, 160])
+def test_equal_rows_are_spread_over_shards(spark, per_cell):
+    """300 pairs, and a row of 700 copies: hot in blocks of 160 rows."""
+    rows = [(i, f"text {i}", "x", j) for i in range(300) for j in (0, 0)] + [(1000, "hot", None, j % 2) for j in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kind int").repartition(5)
+    got = sharding.shard_documents(docs, shards=10, rows_per_cell=per_cell).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"], r["kind"]) for r in got) == Counter(rows)
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(10) for k in range(130)]
+    at = defaultdict(list)
+    for r in got:
+        at[r["doc_id"]].append((r["shard"], r["slot"]))
+    assert 10 <= sum(at[i][0][0] == at[i][1][0] for i in range(300)) <= 55
+    hot = at[1000]
+    assert all(40 <= n <= 100 for n in Counter(s for s, _ in hot).values())
+    beside = sum((s, k + 1) in set(hot) for s, k in hot)
+    assert 320 <= beside <= 430
+
+
 def test_shards_of_nothing(empty):
     assert sharding.shard_documents(empty, shards=7).count() == 0
 
