@@ -27,11 +27,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the smallest id stays;
-    documents without id or without words all stay."""
-    found = near_duplicates.jaccard_components(docs, percent=80, size=5)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of linked ones stays: of those with the
+    smallest id, one with the smallest MD5 of its text.  Groups are of rows, so
+    repeated rows are copies of each other, and texts that share an id are
+    judged each on its own; documents without id or without words all stay."""
+    key = F.md5("text")
+    found = near_duplicates.labelled_rows(docs, percent=80, size=5, key=key).where(F.col("root").isNotNull())
+    found = found.select(F.col("id").alias("doc_id"), "key", "root")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("row")).select("row.*")
+    pairs = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
+    marked = pairs.join(first.withColumn("first", F.lit(True)), ["doc_id", "key"], "left").where(F.col("first").isNull() | (F.col("times") > 1))
+    marked = stored(marked, "near-duplicates")
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    out = keyed.join(marked.select("doc_id", "key"), ["doc_id", "key"], "left_anti").select(*COLUMNS)
+    repeated = marked.where("first").select("doc_id", "key")
+    if repeated.isEmpty():
+        return out
+    again = keyed.join(repeated, ["doc_id", "key"], "left_semi").groupBy("doc_id", "key")
+    return out.unionByName(again.agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import wordscan
@@ -127,7 +127,7 @@ def _describe(sent, size: int, percent: int, schema: pa.Schema):
                 matches.append(m)
                 prefixes.append(front.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary())], schema=schema
+                [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary())], schema=schema
             )
 
     return run
@@ -307,15 +307,24 @@ def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col
     repeat an id are linked like other rows.  Empty tables give empty tables.
     Other columns of ``docs`` play no part.  Sets are compared by 64-bit shingle hashes and folded by 128-bit digests.
     """
+    out = labelled_rows(docs, percent, size, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "n_links")
+
+
+def labelled_rows(docs: DataFrame, percent: int, size: int, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """``jaccard_components`` with ``id``, ``key`` (a string of ``text``, null
+    without one) and ``root``: binary, equal in the rows of a component, null in
+    those that take no part.  Ids may be shared by components, roots aren't."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed = slim.withColumn("key", F.lit(None).cast("string") if key is None else key)
     sketch = shingle_rarity(slim, size)
     sent = spark.sparkContext.broadcast(sketch)
 
     schema = "digest binary, n long, matches int, prefix binary"
     id_type = slim.schema["id"].dataType.simpleString()
-    arrow = pa.schema([("id", _arrow_type(slim, "id")), ("digest", pa.binary()), ("n", pa.int64()), ("matches", pa.int32()), ("prefix", pa.binary())])
-    described = stored(slim.mapInArrow(_describe(sent, size, percent, arrow), f"id {id_type}, {schema}"), "described")
+    arrow = pa.schema([("id", _arrow_type(slim, "id")), ("key", pa.string()), ("digest", pa.binary()), ("n", pa.int64()), ("matches", pa.int32()), ("prefix", pa.binary())])
+    described = stored(keyed.mapInArrow(_describe(sent, size, percent, arrow), f"id {id_type}, key string, {schema}"), "described")
     some = described.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = some.groupBy("digest").agg(
         F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix")
@@ -354,15 +363,16 @@ def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col
     rooted = classes.join(roots, classes["digest"] == roots["node"], "left").join(count, F.col("digest") == F.col("member"), "left")
     rooted = stored(rooted.select("digest", "first", F.coalesce("root", "digest").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    rooted = stored(rooted.join(least, "root").select("digest", "component_id", "n_links"), "rooted")
+    rooted = stored(rooted.join(least, "root").select("digest", "root", "component_id", "n_links"), "rooted")
     # documents meet their class by digest; ids may repeat, so the digest goes along
-    labelled = described.select("id", "digest", "n").join(rooted, "digest", "left")
-    out = labelled.select(
-        "id", F.col("n").alias("n_shingles"),
+    labelled = described.select("id", "key", "digest", "n").join(rooted, "digest", "left")
+    linking = (F.col("n") > 0) & F.col("id").isNotNull()
+    return labelled.select(
+        "id", "key", F.col("n").alias("n_shingles"),
+        F.when(linking, F.col("root")).alias("root"),
         F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id")).alias("component_id"),
-        F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
+        F.when(linking, F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
     )
-    return out.withColumnRenamed("id", id_col)
 
 
 def _arrow_type(df: DataFrame, name: str) -> pa.DataType:

@@ -388,3 +388,24 @@ def test_pipeline_stages(spark):
             assert name == "mixing" or out.count() <= kept.count()
         kept = out
     assert kept.select("shard", "slot").distinct().count() == kept.count()
+
+
+def test_pipeline_near_duplicates_of_repeated_rows_and_shared_ids(spark):
+    import corpus_pipeline
+
+    def prose(seed, change=0):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        return " ".join(words[:-change] + ["new"] * change if change else words)
+
+    def row(i, text, chars=1):
+        return (i, text, "en", "s", chars)
+
+    whole = [row(1, prose(1)), row(5, prose(2)), row(7, prose(4)), row(7, prose(5)), row(None, prose(1)), row(None, prose(1)), row(9, ""), row(9, ""), row(10, None), row(10, None)]
+    gone = [row(1, prose(1)), row(1, prose(1)), row(1, prose(1), 2), row(5, prose(1, 1)), row(6, prose(2, 1)), row(8, prose(4)), row(8, prose(5, 1))]
+    shared = [row(3, prose(6)), row(3, prose(6, 1))]
+    docs = spark.createDataFrame(whole + gone + shared, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    third = [r for r in got.elements() if r[0] == 3]
+    assert len(third) == 1 and third[0] in shared
+    assert got - Counter(third) == Counter(whole)
