@@ -1,116 +1,168 @@
-"""Benchmark decontamination by a prefix-filtered containment join."""
+"""Benchmark decontamination by a prefix-filtered containment join.
+
+A document that contains a window of an item contains the window's rarest
+shingle, so a prefix of one shingle is all that has to be joined.  One scan
+over the documents sends only the places whose shingle a filter of all prefix
+shingles lets pass, each with the words around it; they meet the windows by
+shingle, the shingle's offset says where the window would have to lie, the
+document's bounds whether it can, and then the words themselves are compared.
+Benchmark and documents are both distributed tables; what is broadcast is the
+filter, of a fixed size.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import wordscan
-from gridloom.llm.columns import text_or_empty, without
+from gridloom.llm.columns import Own, hot_keys, or_empty, salted_join
+from gridloom.llm.storage import stored
+from gridloom.llm.url_filter import LANES, MAX_BLOCKS, blocked_bloom, may_contain
 
-#: Characters of benchmark text in one index; more text makes more passes.
-BLOCK_CHARS = 4 << 20
 SHINGLE = 3
-RESULT = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+#: A word before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = re.compile(WORD)
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Bits of the filter of prefix shingles: FILTER_BITS for each, 2**MOST_BITS (16 MB) at most.
+FILTER_BITS, MOST_BITS = 1024, 27
+#: Probes of the filter, each with its own bits of the shingle's hash.
+PROBES = 2
 
 
-class WindowIndex:
-    """Windows of item words by their rarest shingle.
+def words_of(text: str) -> list[str]:
+    """Runs of 0-9, A-Z (lower-cased), a-z and code points from U+0080 on."""
+    return _WORD.findall(text.translate(_LOWER))
 
-    A document that contains a window contains its rarest shingle, so a prefix
-    of one shingle is all that has to be joined; the shingle's place in the
-    window then fixes where the window would have to lie, which the length of
-    the document bounds, before its words are compared.  Rarity is counted over
-    the windows of this index; any order gives the same result.
-    """
 
-    def __init__(self, items: list[tuple[str | None, str]], window: int):
+def _windows(window: int):
+    """(item, text) to (item, words, shingles, offsets): a row per place of a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = wordscan.letters_and_digits()
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                size = min(window, len(words))
+                if not size:
+                    continue
+                k = min(SHINGLE, size)
+                shingles = wordscan.shingle_hashes(wordscan.word_hashes(text.encode(), tables), k).view(np.int64)
+                for lo in range(0, len(words) - size + 1, 10_000):
+                    at = range(lo, min(lo + 10_000, len(words) - size + 1))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item] * len(at), pa.string()), pa.array([" ".join(words[i : i + size]) for i in at]), pa.array([size] * len(at), pa.int32()), pa.array([shingles[i : i + size - k + 1] for i in at], pa.list_(pa.int64()))],
+                        names=["item", "words", "size", "shingles"],
+                    )
+
+    return run
+
+
+def prefix_windows(benchmark: DataFrame, window: int, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """(item, words) of all places, and the distinct windows: words, size, their
+    rarest shingle and its offset.  Rarity is counted over the distinct
+    windows; of equally rare shingles the smallest counts, at its first place."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), or_empty(F.col(item_text)).alias("text"))
+    places = stored(items.mapInArrow(_windows(window), "item string, words string, size int, shingles array<bigint>"), "windows")
+    distinct = places.groupBy("words").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
+    spelt = distinct.select("words", "size", F.posexplode("shingles").alias("offset", "shingle"))
+    counted = spelt.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min(F.struct("n", "shingle", "offset", "size")).alias("r")
+    chosen = salted_join(spelt, counted, "shingle", hot_keys(counted, "shingle", "n", spelt.count()), F.col("words")).groupBy("words").agg(rarest)
+    chosen = stored(chosen.select("words", "r.size", "r.shingle", "r.offset"), "prefixes")
+    return places, chosen
+
+
+def _probe(shingles: np.ndarray, bits: int, i: int) -> np.ndarray:
+    """The bit that probe ``i`` looks at: ``bits`` bits of the hash from the top or the bottom."""
+    return shingles >> np.uint64(64 - bits) if i == 0 else shingles & np.uint64((1 << bits) - 1)
+
+
+def shingle_filter(windows: DataFrame) -> tuple[int, np.ndarray]:
+    """``bits`` and a packed table of 2**bits bits with every prefix shingle's
+    PROBES bits set; built distributed, only its filled words reach the driver."""
+    wanted = windows.agg(F.countDistinct("shingle")).first()[0] * FILTER_BITS
+    bits = 12
+    while (1 << bits) < wanted and bits < MOST_BITS:
+        bits += 1
+    places = F.array(F.shiftrightunsigned("shingle", 64 - bits), F.col("shingle").bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+    each = windows.select(F.explode(places).alias("at"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    filled = each.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("set")).toArrow()
+    table = np.zeros((1 << bits) // 64, dtype=np.int64)
+    table[filled["word"].to_numpy()] = filled["set"].to_numpy()
+    return bits, table.view(np.uint64)
+
+
+def _passes(shingles: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
+    out = np.ones(len(shingles), dtype=bool)
+    for i in range(PROBES):
+        at = _probe(shingles, bits, i)
+        out &= (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
+PLACES = "content binary, n_words long, place long, shingle long, before int, around string"
+
+
+def _places(sent, window: int, sizes: list[int]):
+    """(content, text) to a row for each place whose shingle passes the filter,
+    with the words around it: ``before`` ones ahead of it that a window could
+    begin with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, table = sent.value
         tables = wordscan.letters_and_digits()
-        wins: dict[bytes, set] = {}
-        for item, text in items:
-            words = wordscan.word_hashes(text.encode(), tables)
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                wins.setdefault(words[i : i + size].tobytes(), set()).add(item)
-        arrays = [np.frombuffer(b, dtype=np.uint64) for b in wins]
-        self.items = [sorted(x for x in s if x is not None) for s in wins.values()]
-        self.parts = []
-        for size in sorted({len(a) for a in arrays}):
-            at = [i for i, a in enumerate(arrays) if len(a) == size]
-            rows = np.stack([arrays[i] for i in at])
-            k = min(SHINGLE, size)
-            shingles = np.stack([wordscan.shingle_hashes(r, k) for r in rows])
-            values, inverse, counts = np.unique(shingles, return_inverse=True, return_counts=True)
-            rarity = counts[inverse.reshape(shingles.shape)]
-            offset = np.lexsort((shingles, rarity), axis=1)[:, 0]
-            keys = shingles[np.arange(len(rows)), offset]
-            order = np.argsort(keys, kind="stable")
-            prefix, first = np.unique(keys[order], return_index=True)
-            flags = np.zeros(1 << 16, dtype=bool)
-            flags[prefix >> np.uint64(48)] = True
-            self.parts.append((k, size, prefix, np.append(first, len(order)), offset[order], rows[order], np.array(at)[order], flags))
-
-    def find(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(start, end, window) of all occurrences, start and end in ``words``."""
-        for k, size, prefix, first, offset, rows, names, flags in self.parts:
-            if len(words) < k:
-                continue
-            shingles = wordscan.shingle_hashes(words, k)
-            near = np.flatnonzero(flags[shingles >> np.uint64(48)])
-            if not len(near):
-                continue
-            at = np.minimum(np.searchsorted(prefix, shingles[near]), len(prefix) - 1)
-            hit = prefix[at] == shingles[near]
-            near, at = near[hit], at[hit]
-            many = first[at + 1] - first[at]
-            place = np.repeat(near, many)
-            window = np.repeat(first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            start = place - offset[window]
-            doc = np.searchsorted(bounds, place, side="right") - 1
-            fits = (start >= bounds[doc]) & (start + size <= bounds[doc + 1])
-            start, window = start[fits], window[fits]
-            for lo in range(0, len(start), 100_000):
-                s, w = start[lo : lo + 100_000], window[lo : lo + 100_000]
-                same = (words[s[:, None] + np.arange(size)] == rows[w]).all(axis=1)
-                for a, b in zip(s[same].tolist(), names[w[same]].tolist(), strict=True):
-                    yield a, a + size, b
-
-    def documents(self, texts: list[str | None]) -> Iterator[tuple[int, list, list]]:
-        raw = [(x or "").encode() for x in texts]
-        for _, words, bounds in wordscan.scan(raw, wordscan.letters_and_digits()):
-            spans: dict[int, list] = {}
-            for start, end, window in self.find(words, bounds):
-                spans.setdefault(int(np.searchsorted(bounds, start, side="right")) - 1, []).append((start, end, window))
-            for i in range(len(bounds) - 1):
-                mine = spans.get(i, [])
-                found = sorted({x for *_, w in mine for x in self.items[w]})
-                yield int(bounds[i + 1] - bounds[i]), merged([(s - int(bounds[i]), e - int(bounds[i])) for s, e, _ in mine]), found
-
-
-def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for start, end in sorted(ranges):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str | None, str]]]:
-    held, chars = [], 0
-    for r in items.select(F.col(id_col).cast("string").alias("i"), text_or_empty(text_col).alias("t")).toLocalIterator():
-        held.append((r["i"], r["t"]))
-        chars += len(r["t"])
-        if chars > BLOCK_CHARS:
-            yield held
-            held, chars = [], 0
-    if held:
-        yield held
+        for batch in batches:
+            contents, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out: list[tuple] = []
+            for first, words, bounds in wordscan.scan([x.encode() for x in texts], tables):
+                found: dict[int, list[tuple[int, int]]] = {}
+                for k in sizes:
+                    if len(words) < k:
+                        continue
+                    shingles = wordscan.shingle_hashes(words, k)
+                    near = np.flatnonzero(_passes(shingles, bits, table))
+                    doc = np.searchsorted(bounds, near, side="right") - 1
+                    inside = near + k <= bounds[doc + 1]
+                    for p, d, shingle in zip(near[inside].tolist(), doc[inside].tolist(), shingles[near[inside]].view(np.int64).tolist(), strict=True):
+                        found.setdefault(d, []).append((p - int(bounds[d]), shingle))
+                for d, here in found.items():
+                    spelt, n = words_of(texts[first + d]), int(bounds[d + 1] - bounds[d])
+                    for p, shingle in here:
+                        begin = max(0, p - window + 1)
+                        out.append((contents[first + d], n, p, shingle, p - begin, " ".join(spelt[begin : p + window])))
+                        if len(out) >= 20_000:
+                            yield _batch(out)
+                            out = []
+            if out:
+                yield _batch(out)
+
+    return run
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in PLACES.split(", ")])
+
+
+def merged(spans: Column) -> Column:
+    """Sorted array<struct<start, end>> with touching and overlapping ones joined."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    done = F.aggregate(
+        F.array_sort(spans),
+        F.struct(none.alias("out"), F.lit(None).cast("struct<start:int,end:int>").alias("open")),
+        lambda a, s: F.when(a["open"].isNull(), F.struct(a["out"].alias("out"), s.alias("open")))
+        .when(s["start"] <= a["open"]["end"], F.struct(a["out"].alias("out"), F.struct(a["open"]["start"].alias("start"), F.greatest(a["open"]["end"], s["end"]).alias("end")).alias("open")))
+        .otherwise(F.struct(F.concat(a["out"], F.array(a["open"])).alias("out"), s.alias("open"))),
+    )
+    return F.when(done["open"].isNull(), none).otherwise(F.concat(done["out"], F.array(done["open"])))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -119,46 +171,52 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     ``hit_items`` array<string> (sorted).
 
     Windows are ``window`` consecutive words of an item, or all words of a
-    shorter one.  The benchmark is read in blocks of a fixed size; each makes
-    one index of bounded size that is sent to all tasks, and one pass over the
-    documents.  Nulls: a null text has no words, an item without id marks words
-    but isn't listed.  Repeated items count once; repeated documents are rows
-    of their own; empty tables give no hits.  Columns named like the added ones
-    are replaced.
+    shorter one.  Copies of a text are looked up once, and a shingle, passage
+    or text that very many share is dealt over parts.  Documents without hits
+    are told from the others by a Bloom filter and don't move.
+
+    Nulls: a null text has no words, an item without id marks words but isn't
+    listed.  Repeated items count once; repeated documents are rows of their
+    own; empty tables give no hits.  Whole texts are read, however long; a text
+    is scanned by one task in bounded pieces.  Columns named like the added ones
+    are replaced, others are kept whatever their names.
     """
-    base = without(docs, "n_words", "hit_spans", "hit_items")
+    mine = Own(docs)
     spark = docs.sparkSession
-    out = base
-    pending = None
-    for block in _blocks(benchmark, item_id, item_text) or []:
-        pending = _pass(spark, out, text_col, WindowIndex(block, window))
-        out = pending
-    if pending is None:
-        out = _pass(spark, out, text_col, WindowIndex([], window))
-    spans = F.col("__c.spans")
-    return out.select(*(F.col(f"`{c}`") for c in base.columns), F.col("__c.n_words").alias("n_words"), spans.alias("hit_spans"), F.col("__c.items").alias("hit_items"))
-
-
-def _pass(spark, docs: DataFrame, text_col: str, index: WindowIndex) -> DataFrame:
-    """One pass with one index; results of an earlier pass (``__c``) are merged in."""
-    from gridloom.llm.storage import stored
-
-    sent = spark.sparkContext.broadcast(index)
-    earlier = "__c" in docs.columns
-    if earlier:
-        docs = stored(docs, "contamination")
-
-    @F.pandas_udf(RESULT)
-    def looked_up(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans, items in batches:
-            rows = []
-            for (n, s, found), old, old_items in zip(sent.value.documents(list(texts)), spans, items, strict=True):
-                if old is not None and len(old):
-                    s = merged(s + [(x["start"], x["end"]) for x in old])
-                    found = sorted({*found, *old_items})
-                rows.append((n, [{"start": a, "end": b} for a, b in s], found))
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
-
-    none = (F.lit(None).cast("array<struct<start:int,end:int>>"), F.lit(None).cast("array<string>"))
-    old = (F.col("__c.spans"), F.col("__c.items")) if earlier else none
-    return docs.withColumn("__c", looked_up(F.col(text_col), *old))
+    places, windows = prefix_windows(benchmark, window, item_id, item_text)
+    sizes = sorted({min(SHINGLE, r["size"]) for r in windows.select("size").distinct().collect()})
+    sent = spark.sparkContext.broadcast(shingle_filter(windows))
+
+    text = or_empty(mine[text_col])
+    content = F.unhex(F.md5(text))
+    scanned = mine.rows.select(content.alias("content"), text.alias("text")).mapInArrow(_places(sent, window, sizes), PLACES)
+    met = stored(scanned.groupBy(*scanned.columns).agg(F.count(F.lit(1)).alias("copies")), "places")
+    by_shingle = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    pairs = salted_join(met, windows, "shingle", hot_keys(by_shingle, "shingle", "n", met.count()), F.struct("content", "place"))
+    start = F.col("place") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+    at = F.greatest(F.col("before") - F.col("offset") + 1, F.lit(1))
+    same = F.array_join(F.slice(F.split("around", " "), at, F.col("size")), " ") == F.col("words")
+    hits = pairs.where(fits & same).select("content", "copies", "words", start.cast("int").alias("start"), (start + F.col("size")).cast("int").alias("end"))
+    hits = stored(hits, "hits")
+
+    spans = hits.groupBy("content").agg(merged(F.collect_set(F.struct("start", "end"))).alias("hit_spans"), F.max("copies").alias("n"))
+    passages = hits.select("content", "words").distinct()
+    by_words = passages.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
+    owners = places.where(F.col("item").isNotNull()).select("item", "words").distinct()
+    listed = salted_join(passages, owners, "words", hot_keys(by_words, "words", "n", hits.count()), F.col("content"))
+    listed = listed.groupBy("content").agg(F.array_sort(F.collect_set("item")).alias("hit_items"))
+    found = stored(spans.join(listed, "content", "left"), "contaminated")
+
+    # documents that can't be among the found stay where they are
+    whole = found.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    blocks = 1
+    while blocks * 64 * LANES < whole["texts"] * 16 and blocks < MAX_BLOCKS:
+        blocks *= 2
+    maybe = may_contain(blocked_bloom(found.select("content"), "content", blocks).scalar(), content, blocks)
+    none = {"hit_spans": F.array().cast("array<struct<start:int,end:int>>"), "hit_items": F.array().cast("array<string>")}
+    rows = mine.rows.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
+    clear = rows.where(~maybe).withColumns(none)
+    told = salted_join(rows.where(maybe).withColumn("content", content), found.select("content", *none), "content", hot_keys(found, "content", "n", whole["rows"]), mine.spread(), "left")
+    told = told.withColumns({c: F.coalesce(c, empty) for c, empty in none.items()}).select(*clear.columns)
+    return mine.restore(clear.unionByName(told), "n_words", "hit_spans", "hit_items")

@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.columns import unit, without
+from gridloom.llm.columns import Own, unit
+from gridloom.llm.storage import stored
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"[\W\d_]")
 #: Longest n-gram of the backoff.
 LONGEST = 4
-#: Unseen words whose vector a worker remembers.
-REMEMBERED = 200_000
+#: Numbers in the vectors of unseen words that a worker remembers.
+REMEMBERED = 1 << 20
+#: Languages whose sampling rates are sent to all tasks; more meet by a shuffle.
+FEW = 10_000
 #: N-grams of a word that are summed at a time.
 GRAMS = 1 << 14
 #: Longest unseen word that is remembered.
@@ -41,85 +44,134 @@ def words(text: str) -> Iterator[list[str]]:
         at = end
 
 
+class Frequencies:
+    """Log frequencies by language of units (words, or n-grams of a length): a
+    unit that a language lacks counts half an occurrence there, others half more."""
+
+    def __init__(self, counts: Iterable[tuple[str, str, int]], languages: list[str]):
+        column = {lang: i for i, lang in enumerate(languages)}
+        self.row: dict[str, int] = {}
+        at, of, n = [], [], []
+        for lang, unit_, count in counts:
+            at.append(self.row.setdefault(unit_, len(self.row)))
+            of.append(column[lang])
+            n.append(count)
+        seen = np.zeros((len(self.row), len(languages)))
+        np.add.at(seen, (at, of), n)
+        self.logs = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * len(self.row))) if at else seen
+
+
 class WordFirstModel:
-    """Per-language log frequencies of words and of the n-grams of words.
+    """Words first; an unseen word by its longest n-grams that are known at all.
 
-    ``counts`` maps (language, word) to how often it was seen.
+    ``counts[0]`` are (language, word, n), ``counts[k]`` (language, k-gram, n)
+    of words between ``<`` and ``>``.
     """
 
-    def __init__(self, counts: dict[tuple[str, str], int]):
-        self.languages = sorted({lang for lang, _ in counts})
-        at = {lang: i for i, lang in enumerate(self.languages)}
-        table: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
-        for (lang, word), n in counts.items():
-            table[word][at[lang]] += n
-        self.grams: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        tallies: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(at))) for _ in range(LONGEST + 1)]
-        for word, n in table.items():
-            padded = f"<{word}>"
-            for k in range(1, LONGEST + 1):
-                for i in range(len(padded) - k + 1):
-                    tallies[k][padded[i : i + k]] += n
-        self.grams = [self._logs(t) for t in tallies]
-        self.words = self._logs(table)
-        self.seen: dict[str, np.ndarray] = {}
-
-    def _logs(self, table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        total = sum(table.values())
-        half = 0.5
-        return {k: np.log((v + half) / (total + half * len(table))) for k, v in table.items()}
+    def __init__(self, counts: list[list[tuple[str, str, int]]]):
+        self.languages = sorted({lang for lang, _, _ in counts[0]})
+        self.words, *self.grams = (Frequencies(c, self.languages) for c in counts)
+        self._forget()
+
+    def _forget(self) -> None:
+        # rows of remembered words follow those of the known ones, with room to grow
+        self.row = dict(self.words.row)
+        self.logs = self.words.logs
+        self.most = len(self.row) + REMEMBERED // max(1, len(self.languages))
+
+    def __getstate__(self):
+        return {"languages": self.languages, "words": self.words, "grams": self.grams}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
 
     def backoff(self, word: str) -> np.ndarray:
         """The mean log frequency of the longest n-grams that are known at all."""
-        found = self.seen.get(word)
-        if found is None:
-            found = np.zeros(len(self.languages))
-            padded = f"<{word}>"
-            for k in range(min(LONGEST, len(padded)), 0, -1):
-                total, n = np.zeros(len(self.languages)), 0
-                for at in range(0, len(padded) - k + 1, GRAMS):
-                    known = [g for i in range(at, min(at + GRAMS, len(padded) - k + 1)) if (g := self.grams[k].get(padded[i : i + k])) is not None]
-                    if known:
-                        total += np.sum(known, axis=0)
-                        n += len(known)
-                if n:
-                    found = total / n
-                    break
-            if len(word) <= SHORT_WORD and len(self.seen) < REMEMBERED:
-                self.seen[word] = found
-        return found
+        padded = f"<{word}>"
+        for k in range(min(LONGEST, len(padded)), 0, -1):
+            known, total, n = self.grams[k - 1], np.zeros(len(self.languages)), 0
+            for at in range(0, len(padded) - k + 1, GRAMS):
+                rows = [r for i in range(at, min(at + GRAMS, len(padded) - k + 1)) if (r := known.row.get(padded[i : i + k])) is not None]
+                if rows:
+                    total += known.logs[rows].sum(axis=0)
+                    n += len(rows)
+            if n:
+                return total / n
+        return np.zeros(len(self.languages))
+
+    def _row(self, word: str) -> int | None:
+        """The row of an unseen word; -1 if it has no letter, None if it is too long to keep."""
+        if not any(c.isalpha() for c in word):
+            return -1
+        if len(word) > SHORT_WORD:
+            return None
+        at = len(self.row)
+        if at == len(self.logs):
+            self.logs = np.concatenate([self.logs, np.empty((max(1024, at // 2), len(self.languages)))])
+        self.logs[at] = self.backoff(word)
+        self.row[word] = at
+        return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         total, any_letter = np.zeros(len(self.languages)), False
+        if not self.languages:
+            return UNKNOWN, 0.0
         for part in words(text or ""):
+            rows, times = [], []
             for word, n in Counter(part).items():
-                logs = self.words.get(word)
-                if logs is None:
-                    if not any_letter and not any(c.isalpha() for c in word):
-                        continue
-                    logs = self.backoff(word)
+                at = self.row.get(word)
+                if at is None and (at := self._row(word)) is None:
+                    total += n * self.backoff(word)
+                    any_letter = True
+                elif at >= 0:
+                    rows.append(at)
+                    times.append(n)
+            if rows:
+                total += (np.array(times, dtype=float)[:, None] * self.logs[rows]).sum(axis=0)
                 any_letter = True
-                total += n * logs
-        if not any_letter or not self.languages:
+            if len(self.row) > self.most:
+                self._forget()
+        if not any_letter:
             return UNKNOWN, 0.0
         best = int(np.argmax(total))
         return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def fit(labelled: DataFrame, sample_rows: int = 8_000, max_words: int = 40_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> WordFirstModel:
-    """Learns from about ``sample_rows`` labelled rows, picked by a hash of
-    their ids over all rows, and keeps the ``max_words`` most frequent words of
-    all languages together.  Both bounds are parameters: the model's size and
-    the cost of learning don't grow with the table."""
+def fit(labelled: DataFrame, rows_per_language: int = 2_000, max_units: int = 40_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> WordFirstModel:
+    """Learns every language of the labelled rows from a bounded sample.
+
+    Each language gives about ``rows_per_language`` rows, or all it has, picked
+    by a hash of their ids over all rows; repeated ids go together.  The model
+    keeps each language's ``max_units`` most frequent words, and as many of its
+    n-grams of each length up to LONGEST, which are counted over all words of
+    the sample.  Both bounds are parameters and hold for each language on its
+    own, so a rare one is never crowded out; languages are taken to be few.
+    Null texts and languages are left out; nothing labelled learns nothing."""
     usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rate = min(1.0, sample_rows / max(1, usable.count()))
-    picked = usable.where(unit(F.xxhash64(F.lit("language"), F.col(id_col).cast("string"))) < rate)
-    seen = picked.select(F.col(lang_col).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = seen.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "lang", "word").limit(max_words)
-    return WordFirstModel({(r["lang"], r["word"]): r["n"] for r in top.collect()})
+    usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
+    sizes = stored(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    rates = sizes.select("lang", F.least(F.lit(1.0), rows_per_language / F.col("n")).alias("rate"))
+    rates = F.broadcast(rates) if sizes.count() <= FEW else rates
+    picked = usable.join(rates, "lang").where(unit(F.xxhash64(F.lit("language"), "id")) < F.col("rate"))
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("unit")
+    seen = picked.select("lang", word).groupBy("lang", "unit").agg(F.count(F.lit(1)).alias("n"))
+    padded = F.concat(F.lit("<"), "unit", F.lit(">"))
+
+    def pieces(k: int):
+        return F.transform(F.sequence(F.lit(1), F.length(padded) - (k - 1)), lambda i: F.struct(F.lit(k).alias("k"), F.substring(padded, i, F.lit(k)).alias("unit")))
+
+    grams = [pieces(k) for k in range(1, LONGEST + 1)]
+    # a word has at least three characters with its marks, and only those have a 4-gram
+    grams[LONGEST - 1] = F.when(F.length(padded) >= LONGEST, grams[LONGEST - 1]).otherwise(F.array().cast("array<struct<k:int,unit:string>>"))
+    listed = seen.select("lang", "n", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("k"), F.col("unit"))), *grams)).alias("u"))
+    counted = listed.groupBy("lang", F.col("u.k").alias("k"), F.col("u.unit").alias("unit")).agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "unit"))
+    top = counted.withColumn("rank", rank).where(F.col("rank") <= max_units).orderBy("k", "lang", "unit")
+    counts: list[list[tuple[str, str, int]]] = [[] for _ in range(LONGEST + 1)]
+    for r in top.select("k", "lang", "unit", "n").collect():
+        counts[r["k"]].append((r["lang"], r["unit"], r["n"]))
+    return WordFirstModel(counts)
 
 
 def identify(docs: DataFrame, model: WordFirstModel, text_col: str = "text") -> DataFrame:
@@ -127,19 +179,20 @@ def identify(docs: DataFrame, model: WordFirstModel, text_col: str = "text") ->
     most probable learned language of the whole text and its probability under
     equal priors; ``und`` and 0 if the text is null or has no letter, or if
     nothing was learned.  Ties go to the first language by code point.  Only
-    the text is looked at.  Columns named like the added ones are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams))
+    the text is looked at, so repeated rows are judged alike.  A long text is
+    split a slice at a time, and all n-grams of a long word count.  An empty
+    table gives an empty table.  Columns named like the added ones are
+    replaced, others are kept whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = WordFirstModel({})
-        own.languages, own.words, own.grams = sent.value
         for texts in batches:
-            yield pd.DataFrame([own.predict(x) for x in texts], columns=["lang", "score"])
+            yield pd.DataFrame([sent.value.predict(x) for x in texts], columns=["lang", "score"])
 
-    base = without(docs, "lang_pred", "score")
-    out = base.withColumn("__p", predicted(F.col(text_col)))
-    return out.select(*(F.col(f"`{c}`") for c in base.columns), F.col("__p.lang").alias("lang_pred"), F.col("__p.score").alias("score"))
+    mine = Own(docs)
+    out = mine.rows.withColumn("p", predicted(mine[text_col])).withColumns({"lang_pred": F.col("p.lang"), "score": F.col("p.score")})
+    return mine.restore(out, "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -4,18 +4,20 @@ Each source's documents are permuted into a stream of words, repeated as often
 as the target asks, and cut into blocks.  A multivariate-hypergeometric
 splitting tree recursively partitions the sources' block quotas among the
 output shards; a shard then draws its own disjoint run of each source's
-permuted blocks and shuffles it locally.
+permuted blocks, and with them the words of documents that lie there, and
+shuffles it locally.  What no shard draws isn't taken.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.columns import text_or_empty, unit, without
+from gridloom.llm.columns import Own, or_empty
 from gridloom.llm.hypergeometric import split_tree
+from gridloom.llm.storage import stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ADDED = ("size", "source_size", "target", "placements")
@@ -46,6 +48,50 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
     return ranked.select("source", "source_size", "rank", target.alias("target"))
 
 
+def block_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
+    """From (``rank``, ``quota`` in blocks) of the sources: ``rank`` and
+    ``ends``, up to which of the source's permuted blocks each shard draws.
+
+    Shards get equally many blocks in all; how many of each source is drawn by
+    the splitting tree, as if all blocks had been shuffled and dealt."""
+    listed = sources.agg(F.sort_array(F.collect_list(F.struct("rank", "quota"))).alias("q")).select(F.col("q.quota").alias("quotas"))
+    blocks = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x)
+    share_of = F.transform(
+        F.sequence(F.lit(0), F.lit(shards - 1)),
+        lambda j: (F.floor(blocks / shards) + F.when(j < blocks % shards, 1).otherwise(0)).cast("long"),
+    )
+    matrix = split_tree(listed.select(share_of.alias("sizes"), "quotas"), shards, seed=seed)
+    return (
+        matrix.select("leaf", F.posexplode("counts").alias("at", "n"))
+        .withColumn("end", F.sum("n").over(Window.partitionBy("at").orderBy("leaf")))
+        .groupBy("at")
+        .agg(F.sort_array(F.collect_list("end")).alias("ends"))
+        .select((F.col("at") + 1).alias("rank"), "ends")
+    )
+
+
+def drawn_pieces(copy: Column, begin: Column, size: Column, ends: Column, stop: Column, block_words: int) -> Column:
+    """array<struct<copy, words, shard>>: what each shard draws of a copy at
+    ``begin`` of its source's stream.  A shard's words end with its last block,
+    and the last block of all with the stream, at ``stop``."""
+    last = F.size(ends)
+    pieces = F.transform(
+        F.sequence(F.lit(1), last),
+        lambda j: F.struct(
+            copy.cast("int").alias("copy"),
+            (
+                F.least(begin + size, F.element_at(ends, j) * block_words, stop)
+                - F.greatest(begin, F.when(j > 1, F.element_at(ends, F.greatest(j - 1, F.lit(1)))).otherwise(0) * block_words)
+            ).cast("long").alias("words"),
+            (j - 1).cast("int").alias("shard"),
+        ),
+    )
+    # a copy without words goes with the block it would begin in
+    at = F.filter(F.sequence(F.lit(1), last), lambda j: F.element_at(ends, j) * block_words > F.least(begin, stop - 1))
+    empty = F.transform(F.slice(at, 1, 1), lambda j: F.struct(copy.cast("int").alias("copy"), F.lit(0).cast("long").alias("words"), (j - 1).cast("int").alias("shard")))
+    return F.when(size > 0, F.filter(pieces, lambda p: p["words"] > 0)).otherwise(empty)
+
+
 def mixing_plan(
     docs: DataFrame,
     weights: tuple[float, ...] = (3, 1, 2),
@@ -57,111 +103,107 @@ def mixing_plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    rows_per_bucket: int = 10_000,
-    max_buckets: int = 4096,
+    rows_per_bucket: int = 4_000,
+    bytes_per_bucket: int = 32 << 20,
+    keep_text: bool = True,
 ) -> DataFrame:
     """All columns of ``docs`` with ``size`` (words), ``source_size``,
     ``target`` and ``placements``: array<struct<copy int, words long, shard
-    int>>, one for each copy that the mix takes, empty if none.
-
-    Full passes over a source take whole documents; the last, partial pass
-    takes documents in permuted order and of its last document only the words
-    that are still missing, so a source's taken words equal its rounded target.
-    A null text has no words; a null source is a source of its own; without any
-    words all targets are 0.  Repeated rows are rows of their own.  Documents
-    without words are taken with each full pass and with the partial one while
-    words are missing.  Columns of ``docs`` named like the added ones are
-    replaced.  Prefix sums run over (source, bucket) cells, so that a hot source
-    is spread over tasks; a source is named by a few bytes, and the table of
-    sources is taken to be small.
+    int>>, the words that each shard draws of each copy, empty if none.
+
+    A source's stream is its permuted documents, pass after pass, as long as its
+    rounded target; so full passes take whole documents and the last one takes
+    of its last document only the words that are still missing.  A null text has
+    no words; a null source is a source of its own; an empty table, or one
+    without any words, takes nothing.  Repeated rows are rows of their own.
+    Documents without words are taken with the block they lie in.  Whole texts
+    are counted, however long.  Columns of ``docs`` named like the added ones
+    are replaced, others are kept whatever their names; without ``keep_text``
+    the text is left out, so that rows are measured once and move without it.
+
+    Prefix sums run over (source, bucket) cells of about ``rows_per_bucket``
+    rows and ``bytes_per_bucket`` bytes of text at any size of the table, so
+    that a hot source is spread over tasks; the table of sources is taken to be
+    small.
     """
-    spark = docs.sparkSession
-    base = without(docs, *ADDED)
-    buckets = max(1, min(max_buckets, math.ceil(docs.count() / rows_per_bucket)))
-    perm = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    text = text_or_empty(text_col)
-    rows = base.select(
-        *(F.col(f"`{c}`") for c in base.columns),
+    return _plan(docs, weights, share, cap, shards, block_words, seed, id_col, text_col, source_col, rows_per_bucket, bytes_per_bucket, keep_text)[0]
+
+
+def _plan(docs, weights, share, cap, shards, block_words, seed, id_col, text_col, source_col, rows_per_bucket, bytes_per_bucket, keep_text) -> tuple[DataFrame, int]:
+    """``mixing_plan`` and its number of buckets."""
+    mine = Own(docs)
+    text = or_empty(mine[text_col])
+    whole = mine.rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    buckets = max(1, math.ceil(whole["rows"] / rows_per_bucket), math.ceil(whole["bytes"] / bytes_per_bucket))
+    perm = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(mine[id_col].cast("string"), F.lit("null"))))
+    at = F.conv(F.substring(perm, 1, 8), 16, 10).cast("double") / (1 << 32)
+    kept = [c for c, n in zip(mine.columns, mine.names, strict=True) if keep_text or n != text_col]
+    rows = mine.rows.select(
+        *kept,
         F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"),
-        F.col(source_col).isNull().alias("__none"),
-        F.coalesce(F.col(source_col), F.lit("")).alias("__src"),
-        perm.alias("__perm"),
-        F.md5(text).alias("__tie"),
-    ).withColumn("__bucket", F.floor(F.conv(F.substring("__perm", 1, 8), 16, 10).cast("double") / (1 << 32) * buckets).cast("int"))
-
-    cell = ["__none", "__src", "__bucket"]
-    cells = rows.groupBy(*cell).agg(F.sum("size").alias("words"))
-    name = F.when(~F.col("__none"), F.col("__src"))
-    sizes = cells.groupBy("__none", "__src").agg(F.sum("words").alias("source_size")).select(name.alias("source"), "source_size")
+        mine[source_col].isNull().alias("none"),
+        or_empty(mine[source_col]).alias("src"),
+        F.unhex(perm).alias("perm"),
+        F.unhex(F.md5(text)).alias("tie"),
+        F.floor(at * buckets).cast("int").alias("bucket"),
+    )
+    if not keep_text:
+        rows = stored(rows, "mixing-rows")
+
+    cell = ["none", "src", "bucket"]
+    cells = stored(rows.groupBy(*cell).agg(F.sum("size").alias("words")), "mixing-cells")
+    name = F.when(~F.col("none"), F.col("src"))
+    sizes = cells.groupBy("none", "src").agg(F.sum("words").alias("source_size")).select(name.alias("source"), "source_size")
     sources = source_targets(sizes, weights, share, cap)
+    # the stream of a source: whole passes and the rest, its target rounded
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    sources = sources.withColumn("passes", passes)
     rest = F.floor(F.col("target") - F.col("passes") * F.col("source_size") + 0.5).cast("long")
-    sources = sources.withColumn("rest", rest)
-    drawn = F.col("passes") * F.col("source_size") + F.col("rest")
-    sources = sources.withColumn("quota", F.ceil(drawn / block_words).cast("long"))
-
-    listed = sources.agg(F.sort_array(F.collect_list(F.struct("rank", "quota"))).alias("q")).select(F.col("q.quota").alias("quotas"))
-    blocks = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x)
-    share_of = F.transform(
-        F.sequence(F.lit(0), F.lit(shards - 1)),
-        lambda j: (F.floor(blocks / shards) + F.when(j < blocks % shards, 1).otherwise(0)).cast("long"),
-    )
-    matrix = split_tree(listed.select(share_of.alias("sizes"), "quotas"), shards, seed=sum(map(ord, seed)))
-    ends = (
-        matrix.select("leaf", F.posexplode("counts").alias("at", "n"))
-        .withColumn("end", F.sum("n").over(Window.partitionBy("at").orderBy("leaf")))
-        .groupBy("at")
-        .agg(F.sort_array(F.collect_list("end")).alias("ends"))
-        .select((F.col("at") + 1).alias("rank"), "ends")
-    )
-    sources = sources.join(ends, "rank", "left").select(
-        F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__src"), "source_size", "target", "passes", "rest", "ends"
-    )
-    behind = Window.partitionBy("__none", "__src").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*cell, F.coalesce(F.sum("words").over(behind), F.lit(0)).alias("__cell_before")).join(sources, ["__none", "__src"])
-
-    within = Window.partitionBy(*cell).orderBy("__perm", "size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("__in_cell", F.coalesce(F.sum("size").over(within), F.lit(0))).join(cells, cell)
-    placed = placed.withColumn("__before", F.col("__cell_before") + F.col("__in_cell"))
-    part = F.least(F.col("size"), F.col("rest") - F.col("__before"))
-    copies = F.concat(
-        F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda c: F.struct(c.alias("copy"), F.col("size").alias("words")))).otherwise(
-            F.array().cast("array<struct<copy:bigint,words:bigint>>")
-        ),
-        F.when(F.col("__before") < F.col("rest"), F.array(F.struct(F.col("passes").alias("copy"), part.alias("words")))).otherwise(
-            F.array().cast("array<struct<copy:bigint,words:bigint>>")
-        ),
-    )
-    placements = F.transform(
-        copies,
-        lambda c: F.struct(
-            c["copy"].cast("int").alias("copy"),
-            c["words"].alias("words"),
-            F.size(F.filter("ends", lambda e: e <= F.floor((c["copy"] * F.col("source_size") + F.col("__before")) / block_words))).cast("int").alias("shard"),
-        ),
-    )
-    return placed.select(*(F.col(f"`{c}`") for c in base.columns), "size", "source_size", "target", placements.alias("placements"))
-
-
-def mixed_documents(docs: DataFrame, cells: int = 8, **plan) -> DataFrame:
+    sources = sources.withColumn("passes", passes).withColumn("stop", F.col("passes") * F.col("source_size") + rest)
+    sources = stored(sources.withColumn("quota", F.ceil(F.col("stop") / block_words).cast("long")), "mixing-sources")
+    ends = block_quotas(sources.select("rank", "quota"), shards, sum(map(ord, seed)))
+    sources = sources.join(ends, "rank", "left").select(F.col("source").isNull().alias("none"), or_empty(F.col("source")).alias("src"), "source_size", "target", "passes", "stop", "ends")
+
+    behind = Window.partitionBy("none", "src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*cell, F.coalesce(F.sum("words").over(behind), F.lit(0)).alias("cell_before")).join(sources, ["none", "src"])
+    within = Window.partitionBy(*cell).orderBy("perm", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("in_cell", F.coalesce(F.sum("size").over(within), F.lit(0))).join(cells, cell)
+    placed = placed.withColumn("before", F.col("cell_before") + F.col("in_cell"))
+    # a copy for each whole pass, and for the last one if it begins before the stream ends
+    begun = lambda c: (F.col("stop") > 0) & ((c < F.col("passes")) | (c * F.col("source_size") + F.col("before") < F.col("stop")))
+    copies = F.filter(F.sequence(F.lit(0).cast("long"), F.col("passes")), begun)
+    pieces = F.transform(copies, lambda c: drawn_pieces(c, c * F.col("source_size") + F.col("before"), F.col("size"), F.col("ends"), F.col("stop"), block_words))
+    placed = placed.withColumn("placements", F.flatten(pieces))
+    return mine.restore(placed, *ADDED), buckets
+
+
+def mixed_documents(
+    docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, shards: int = 16, block_words: int = 1000, seed: str = "mix-1",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_bucket: int = 4_000, bytes_per_bucket: int = 32 << 20,
+) -> DataFrame:
     """The mix itself: a row for each taken copy, whole texts, with the columns
     of ``docs`` plus ``mix_copy`` and ``mix_shard``, each shard locally shuffled.
 
-    Documents stay whole: the one document of a source that the plan takes in
-    part is taken if at least half of its words are, so a source may miss its
-    target by half of one document.
+    Documents stay whole: a copy goes to the shard that draws most of its words,
+    the first of equal ones.  The one document of a source that the plan takes
+    in part is taken if at least half of its words are, so a source may miss
+    its target by half of one document.  Shards are shuffled in parts whose
+    number grows with the table.  Odd rows as in ``mixing_plan``.
     """
-    planned = mixing_plan(docs, **plan)
-    kept = [c for c in planned.columns if c not in ADDED]
-    taken = planned.select(*(F.col(f"`{c}`") for c in kept), "size", F.explode("placements").alias("__p"))
-    taken = taken.where(F.col("__p.words") * 2 >= F.col("size"))
-    order = F.xxhash64(F.lit("local"), F.col("__p.copy"), *(F.col(f"`{c}`") for c in kept))
-    return (
-        taken.withColumn("__order", order)
-        .withColumn("mix_shard", F.col("__p.shard"))
-        .withColumn("mix_copy", F.col("__p.copy"))
-        .repartition("mix_shard", F.pmod("__order", F.lit(cells)))
-        .sortWithinPartitions("mix_shard", "__order")
-        .select(*(F.col(f"`{c}`") for c in kept), "mix_copy", "mix_shard")
-    )
+    planned, buckets = _plan(docs, weights, share, cap, shards, block_words, seed, id_col, text_col, source_col, rows_per_bucket, bytes_per_bucket, True)
+    mine = Own(planned)
+    pieces = mine["placements"]
+    copies = F.transform(F.array_distinct(F.transform(pieces, lambda p: p["copy"])), lambda c: _whole(F.filter(pieces, lambda p: p["copy"] == c), c))
+    taken = mine.rows.withColumn("c", F.explode(F.filter(copies, lambda c: c["words"] * 2 >= mine["size"])))
+    taken = taken.withColumns({"mix_copy": F.col("c.copy"), "mix_shard": F.col("c.shard")})
+    order = F.xxhash64(F.lit("local"), "mix_copy", mine.spread())
+    cells = math.ceil(buckets * max(1.0, share) * 2 / shards)
+    dealt = taken.withColumn("order", order).repartition("mix_shard", F.pmod(F.col("order"), F.lit(cells)))
+    out = mine.restore(dealt.sortWithinPartitions("mix_shard", "order"), "mix_copy", "mix_shard")
+    return out.drop(*ADDED)
+
+
+def _whole(pieces: Column, copy: Column) -> Column:
+    """A copy's words in all and the shard with most of them."""
+    most = F.array_max(F.transform(pieces, lambda p: F.struct(p["words"].alias("words"), (-p["shard"]).alias("shard"))))
+    words = F.aggregate(pieces, F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    return F.struct(copy.alias("copy"), words.alias("words"), (-most["shard"]).alias("shard"))

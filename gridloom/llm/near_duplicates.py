@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import wordscan
+from gridloom.llm.columns import HOT, hot_keys, salted_join
 from gridloom.llm.components import connected_components
 from gridloom.llm.storage import stored
 from gridloom.llm.url_filter import LANES, MAX_BLOCKS, blocked_bloom, may_contain
@@ -127,21 +128,29 @@ def _describe(sent, size: int, percent: int, schema: pa.Schema):
                 matches.append(m)
                 prefixes.append(front.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary())], schema=schema
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary())], schema=schema
             )
 
     return run
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fronts = [np.frombuffer(x, dtype=np.int64) for x in batch.column(2).to_pylist()]
-        times = [len(x) for x in fronts]
-        at = np.repeat(np.arange(len(fronts)), times)
-        tokens = np.concatenate(fronts) if fronts else np.empty(0, dtype=np.int64)
-        for lo in range(0, len(at), 100_000):
-            some = pa.array(at[lo : lo + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[lo : lo + 100_000]), batch.column(1).take(some), batch.column(0).take(some), batch.column(3).take(some)], names=["token", "n", "digest", "matches"])
+def _postings(sent, limit: int, heavy: bool):
+    """A row for each prefix shingle; those whose counter of the rarity table
+    is over ``limit`` (a frequent shingle's always is) apart from the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = sent.value
+        for batch in batches:
+            fronts = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(2).to_pylist()]
+            at = np.repeat(np.arange(len(fronts)), [len(x) for x in fronts])
+            tokens = np.concatenate(fronts) if fronts else np.empty(0, dtype=np.uint64)
+            mine = (_rarity(sketch, tokens) > limit) == heavy
+            at, tokens = at[mine], tokens[mine].view(np.int64)
+            for lo in range(0, len(at), 100_000):
+                some = pa.array(at[lo : lo + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[lo : lo + 100_000]), batch.column(1).take(some), batch.column(0).take(some), batch.column(3).take(some)], names=["token", "n", "digest", "matches"])
+
+    return run
 
 
 def _leaders(percent: int):
@@ -214,6 +223,27 @@ def _meet(rows: pa.Table, starts: np.ndarray, leader: bytes | None, begins: int)
             yield pa.RecordBatch.from_arrays([digests.take(pa.array(a)), digests.take(pa.array(a + d)), pa.array(need)], names=["leader", "member", "need"])
 
 
+def _meeting(classes: DataFrame, sent, percent: int) -> DataFrame:
+    """(leader, member, need) of all prefix shingles; see ``_leaders``.
+
+    The documents of a shingle that more than 1 / HOT of the documents have in
+    their prefixes don't meet in one task: their first by size and digest, known
+    from an aggregation, is the leader of all of them."""
+    limit = max(SHORT_RUN, classes.count() // HOT)
+    columns = "token long, n long, digest binary, matches int"
+    slim = classes.select("digest", "n", "prefix", "matches")
+    some, many = (slim.mapInArrow(_postings(sent, limit, heavy), columns) for heavy in (False, True))
+    many = stored(many, "heavy-postings")
+    held = many.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "digest")).alias("first"))
+    held = stored(held.where(F.col("k") > limit).select("token", "k", F.col("first.digest").alias("leader")), "frequent-shingles")
+    hot = hot_keys(held, "token", "k", many.count())
+    stars = salted_join(many, held.select("token", "leader"), "token", hot, F.col("digest"))
+    stars = stars.where(F.col("leader") != F.col("digest")).select("leader", F.col("digest").alias("member"), F.lit(0).alias("need"))
+    rest = salted_join(many, held.select("token"), "token", hot, F.col("digest"), "left_anti").select("token", "n", "digest", "matches")
+    runs = some.unionByName(rest).repartition("token").sortWithinPartitions("token", "n", "digest")
+    return stars.unionByName(runs.mapInArrow(_leaders(percent), "leader binary, member binary, need int"))
+
+
 CELL = ["leader", "low", "high"]
 
 
@@ -253,10 +283,6 @@ def _cell(rows: list[dict], key: tuple, size: int, percent: int) -> Iterator[pa.
     leader, low, high = key
     rows.sort(key=lambda r: (r["n"], r["member"]))
     sets = list(shingle_sets([r["text"] for r in rows], size))
-    whole = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == r["member"] for s, r in zip(sets, rows, strict=True)]
-    rows, sets = [r for r, ok in zip(rows, whole, strict=True) if ok], [s for s, ok in zip(sets, whole, strict=True) if ok]
-    if len(rows) < 2:
-        return
     sizes = np.array([len(s) for s in sets])
     matches = np.array([r["matches"] for r in rows])
     blocks = np.array([r["block"] for r in rows])
@@ -305,7 +331,9 @@ def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col
     all such links count.  Null and empty texts have no set and link with
     nothing; rows with a null id neither link nor have a component; rows that
     repeat an id are linked like other rows.  Empty tables give empty tables.
-    Other columns of ``docs`` play no part.  Sets are compared by 64-bit shingle hashes and folded by 128-bit digests.
+    Whole texts are read, however long.  Other columns of ``docs`` play no part.
+    Sets are compared by 64-bit shingle hashes (see ``wordscan``) and folded by
+    128-bit digests.
     """
     out = labelled_rows(docs, percent, size, id_col, text_col)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "n_links")
@@ -316,24 +344,23 @@ def labelled_rows(docs: DataFrame, percent: int, size: int, id_col: str = "doc_i
     without one) and ``root``: binary, equal in the rows of a component, null in
     those that take no part.  Ids may be shared by components, roots aren't."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = slim.withColumn("key", F.lit(None).cast("string") if key is None else key)
+    # copies of a text are one text wherever it is looked up
+    rep = F.unhex(F.md5(F.col(text_col)))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.lit(None).cast("string") if key is None else key).alias("key"), rep.alias("rep"))
     sketch = shingle_rarity(slim, size)
     sent = spark.sparkContext.broadcast(sketch)
 
-    schema = "digest binary, n long, matches int, prefix binary"
+    schema = "rep binary, digest binary, n long, matches int, prefix binary"
     id_type = slim.schema["id"].dataType.simpleString()
-    arrow = pa.schema([("id", _arrow_type(slim, "id")), ("key", pa.string()), ("digest", pa.binary()), ("n", pa.int64()), ("matches", pa.int32()), ("prefix", pa.binary())])
-    described = stored(keyed.mapInArrow(_describe(sent, size, percent, arrow), f"id {id_type}, key string, {schema}"), "described")
+    arrow = pa.schema([("id", _arrow_type(slim, "id")), ("key", pa.string()), ("rep", pa.binary()), ("digest", pa.binary()), ("n", pa.int64()), ("matches", pa.int32()), ("prefix", pa.binary())])
+    described = stored(slim.mapInArrow(_describe(sent, size, percent, arrow), f"id {id_type}, key string, {schema}"), "described")
     some = described.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = some.groupBy("digest").agg(
-        F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix")
+        F.min("id").alias("first"), F.min("rep").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix")
     )
     classes = stored(classes, "classes")
 
-    postings = classes.select("digest", "n", "prefix", "matches").mapInArrow(_postings, "token long, n long, digest binary, matches int")
-    runs = postings.repartition("token").sortWithinPartitions("token", "n", "digest")
-    pairs = runs.mapInArrow(_leaders(percent), "leader binary, member binary, need int")
+    pairs = _meeting(classes, sent, percent)
     pairs = pairs.groupBy("leader", "member").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("least"), F.max("need").alias("most"))
     pairs = stored(pairs.where((F.col("least") == 0) | (F.col("shared") >= F.col("most"))).select("leader", "member"), "stars")
     members = pairs.unionByName(pairs.select("leader", F.col("leader").alias("member")).distinct())
@@ -341,17 +368,19 @@ def labelled_rows(docs: DataFrame, percent: int, size: int, id_col: str = "doc_i
     # a member with its text, once, wherever it goes from here
     of_member = members.groupBy("member").agg(F.sort_array(F.collect_list("leader")).alias("leaders"))
     known = stored(of_member.join(classes.withColumnRenamed("digest", "member"), "member"), "members")
-    blocks = 1
-    while blocks * 64 * LANES < known.count() * 16 and blocks < MAX_BLOCKS:
+    blocks, n_known = 1, known.count()
+    while blocks * 64 * LANES < n_known * 16 and blocks < MAX_BLOCKS:
         blocks *= 2
-    bloom = blocked_bloom(known.select("first"), "first", blocks).scalar()
-    texts = slim.where(may_contain(bloom, F.col("id"), blocks)).withColumnRenamed("id", "first")
-    known_texts = known.join(texts, "first").select("member", "leaders", "copies", "n", "matches", "prefix", "text")
+    bloom = blocked_bloom(known.select("rep"), "rep", blocks).scalar()
+    texts = slim.select("rep", "text").where(may_contain(bloom, F.col("rep"), blocks)).groupBy("rep").agg(F.first("text").alias("text"))
+    known_texts = known.join(texts, "rep").select("member", "leaders", "copies", "n", "matches", "prefix", "text")
 
     star = members.join(known.select("member", "n"), "member").groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
     split = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    star = stored(star.select("leader", split.alias("blocks")), "star-sizes")
-    dealt = members.join(star, "leader").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    star = stored(star.select("leader", split.alias("blocks"), "members"), "star-sizes")
+    whole = star.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    of_star = salted_join(members, star.select("leader", "blocks"), "leader", hot_keys(star, "leader", "members", whole), F.col("member"))
+    dealt = of_star.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = stored(dealt.select("leader", "member", "block", F.least("block", "k").alias("low"), F.greatest("block", "k").alias("high")), "cells")
     met = dealt.join(known_texts, "member").repartition(*CELL).sortWithinPartitions(*CELL)
@@ -359,13 +388,17 @@ def labelled_rows(docs: DataFrame, percent: int, size: int, id_col: str = "doc_i
 
     roots = connected_components(found.select(F.col("member").alias("a"), F.col("other").alias("b")))
     count = found.groupBy("member").agg(F.sum("links").alias("links"))
-    classes = classes.select("digest", "first", "copies")
-    rooted = classes.join(roots, classes["digest"] == roots["node"], "left").join(count, F.col("digest") == F.col("member"), "left")
-    rooted = stored(rooted.select("digest", "first", F.coalesce("root", "digest").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    rooted = stored(rooted.join(least, "root").select("digest", "root", "component_id", "n_links"), "rooted")
-    # documents meet their class by digest; ids may repeat, so the digest goes along
-    labelled = described.select("id", "key", "digest", "n").join(rooted, "digest", "left")
+    rooted = classes.select("digest", "first", "copies").join(roots, F.col("digest") == F.col("node"), "left").join(count, F.col("digest") == F.col("member"), "left")
+    rooted = stored(rooted.select("digest", "first", F.coalesce("root", "digest").alias("root"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "rooted")
+    # the least ids of large components and the rows of large classes meet theirs in parts
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    whole = rooted.agg(F.count(F.lit(1)).alias("classes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    named = salted_join(rooted, least.select("root", "component_id"), "root", hot_keys(least, "root", "k", whole["classes"]), F.col("digest"))
+    named = stored(named.select("digest", "root", "component_id", "copies", "n_links"), "components")
+    hot = hot_keys(named, "digest", "copies", whole["rows"])
+    rows = described.select("id", "key", "digest", "n")
+    labelled = salted_join(rows.where(F.col("n") > 0), named.select("digest", "root", "component_id", "n_links"), "digest", hot, F.struct("id", "key"), "left")
+    labelled = labelled.unionByName(rows.where(F.col("n") == 0), allowMissingColumns=True)
     linking = (F.col("n") > 0) & F.col("id").isNotNull()
     return labelled.select(
         "id", "key", F.col("n").alias("n_shingles"),

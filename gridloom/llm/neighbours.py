@@ -55,6 +55,7 @@ class Deal:
         self.boxes: list[tuple[np.ndarray, np.ndarray]] = []
         dims = sample.shape[1]
         self.root = self._grow(sample, leaves, np.full(dims, -np.inf), np.full(dims, np.inf))
+        self.lows, self.highs = (np.stack(x) for x in zip(*self.boxes, strict=True))
 
     def _grow(self, points: np.ndarray, leaves: int, low: np.ndarray, high: np.ndarray):
         if leaves <= 1 or len(points) < 2 or np.ptp(points, axis=0).max() == 0:
@@ -76,7 +77,8 @@ class Deal:
         return node
 
     def within(self, point: np.ndarray, square: float) -> list[int]:
-        return [i for i, (low, high) in enumerate(self.boxes) if gap(point, low, high) <= square]
+        d = np.maximum(self.lows - point, 0) + np.maximum(point - self.highs, 0)
+        return np.flatnonzero((d * d).sum(axis=1) <= square).tolist()
 
 
 def gap(point: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
@@ -148,7 +150,7 @@ def nearest(
     seed: int = 7,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    cell_rows: int = 20_000,
+    cell_rows: int = 4_000,
     max_leaves: int = 4096,
     sample_rows: int = 20_000,
     block_queries: int = 5_000,
@@ -163,33 +165,36 @@ def nearest(
     ``cell_rows`` vectors, such as those of copies, are split by a hash of the
     id; queries come in blocks of ``block_queries``.  A first round in a query's
     own cell bounds its k-th distance, a second visits the cells within reach.
-    Unusable vectors (see ``usable``), rows without id, and vectors of another
-    length than most take no part.  Rows with the query's id are not its
-    candidates; repeated rows are candidates of their own.  Each query row, a
-    repeated one or one of several under an id too, has ranks from 1 of its own.
+    Unusable vectors (see ``usable``) and rows without id take no part.
+    Distances are between vectors of a length, so each length is a space of its
+    own.  Rows with the query's id are not its candidates; repeated rows are
+    candidates of their own.  Each query row, a repeated one or one of several
+    under an id too, has ranks from 1 of its own.  Empty tables, or none left
+    to search, give an empty table; other columns play no part.
     """
     if dims % 2:
         raise ValueError("dims must be even")
     spark = vectors.sparkSession
     rows = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q")), "v").where(F.col("id").isNotNull())
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not lengths:
+    sizes = rows.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("v")).alias("longest")).first()
+    total, longest = sizes["rows"], sizes["longest"]
+    if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    length, total = lengths[0]["d"], lengths[0]["count"]
-    rows = rows.where(F.size("v") == length)
-    weights = np.random.default_rng(seed).standard_normal((length, dims))
+    weights = np.random.default_rng(seed).standard_normal((longest, dims))
     limit = chi_square_quantile(confidence, dims)
 
+    # one tree deals the vectors of all lengths, by projections with the first weights; a leaf's number tells the length too
     rate = min(1.0, sample_rows / total)
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < rate * 1_000_000).select("v").limit(2 * sample_rows)
-    sample = np.array([r["v"] for r in picked.toLocalIterator()]).reshape(-1, length) @ weights
+    sample = np.array([np.array(r["v"]) @ weights[: len(r["v"])] for r in picked.toLocalIterator()]).reshape(-1, dims)
     deal = Deal(sample, min(max_leaves, max(1, math.ceil(total / cell_rows))))
+    many = len(deal.boxes)
 
-    @F.pandas_udf("p array<double>, leaf int")
+    @F.pandas_udf("p array<double>, leaf long")
     def project(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for v in batches:
-            p = (np.stack(v) if len(v) else np.empty((0, length))) @ weights
-            yield pd.DataFrame({"p": list(p), "leaf": [deal.leaf(x) for x in p]})
+            p = [x @ weights[: len(x)] for x in v] if v.map(len).nunique() > 1 else list((np.stack(v) if len(v) else np.empty((0, longest))) @ weights[: len(v.iloc[0]) if len(v) else longest])
+            yield pd.DataFrame({"p": p, "leaf": [len(x) * many + deal.leaf(y) for x, y in zip(v, p, strict=True)]})
 
     placed = stored(rows.withColumn("x", project("v")).select(F.monotonically_increasing_id().alias("key"), "id", "v", F.coalesce("q", F.lit(False)).alias("q"), "x.p", "x.leaf"), "projections")
     filled = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
@@ -223,12 +228,13 @@ def nearest(
     home = queries.withColumn("part", part_of)
     bounded = stored(met(home, bound, "key long, id long, v array<double>, p array<double>, bound double"), "bounds")
 
-    @F.pandas_udf("array<int>")
-    def reach(points: pd.Series, bounds: pd.Series) -> pd.Series:
-        every = list(range(len(deal.boxes)))
-        return pd.Series([every if b is None or np.isnan(b) else deal.within(np.asarray(p), limit * b) for p, b in zip(points, bounds, strict=True)])
+    @F.pandas_udf("array<long>")
+    def reach(points: pd.Series, bounds: pd.Series, lengths: pd.Series) -> pd.Series:
+        every = range(many)
+        near = [every if b is None or np.isnan(b) else deal.within(np.asarray(p), limit * b) for p, b in zip(points, bounds, strict=True)]
+        return pd.Series([[n * many + i for i in x] for x, n in zip(near, lengths, strict=True)])
 
-    sent = bounded.withColumn("leaf", F.explode(reach("p", "bound")))
+    sent = bounded.withColumn("leaf", F.explode(reach("p", "bound", F.size("v"))))
     sent = stored(sent.where(F.coalesce(parts, F.lit(0)) > 0).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), "routes")
 
     def verify(asked: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import contamination, language, lines, mixing, near_duplicates, neighbours, secrets, sharding, tokens, url_filter
+from gridloom.llm.columns import local_rows
 
 #: The rules of the URL query (host, path, verdict).
 URL_RULES = [
@@ -72,8 +73,8 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixing_plan(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
-    taken = F.aggregate("placements", F.lit(0).cast("long"), lambda a, p: a + F.when(p["shard"] >= 0, p["words"]).otherwise(0))
+    out = mixing.mixing_plan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=(3, 1, 2), share=1.5, cap=2.0, keep_text=False)
+    taken = F.aggregate("placements", F.lit(0).cast("long"), lambda a, p: a + p["words"])
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
@@ -83,7 +84,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = local_rows(spark, URL_RULES, ["host", "path", "verdict"])
     out = url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return out.select("page_id", "host", "path", "rule", "verdict")
 

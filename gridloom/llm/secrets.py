@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.columns import text_or_empty, without
+from gridloom.llm.columns import Own, digest, hot_keys, or_empty, salted_join
+from gridloom.llm.storage import stored
 
 #: The base patterns.  Runs of access and hex that are too short
 #: to count can't hide a longer one, so their least lengths stand in the
@@ -90,24 +91,32 @@ def find_secrets(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text
     parts, reported only where their complement stands within ``scope`` code
     points of the same text: an access identifier for a weak secret, and for an
     endpoint an access identifier and a secret, weak or the value of an assign
-    span; weak secrets that overlap a base span aren't repeated.  A null text is empty; repeated rows get equal spans; columns
-    named like the added ones are replaced.
+    span; weak secrets that overlap a base span aren't repeated.  Texts without
+    an access identifier have nothing to link and never move.
+
+    A null text is empty; an empty table gives an empty table; repeated rows get
+    equal spans.  Whole texts are read; the spans of one text, however long,
+    are found and swept by one task.  Columns named like the added ones are
+    replaced, others are kept whatever their names.
     """
-    base = without(docs, "base_spans", "linked_spans")
-    text = text_or_empty(text_col)
-    row = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text))
+    mine = Own(docs)
+    text = or_empty(mine[text_col])
     kind = {k: i for i, k in enumerate(KINDS)}
     found = F.array_sort(F.concat(spans(text, ASSIGN, kind["assign"], 6), spans(text, ACCESS, kind["access"]), spans(text, HEX, kind["hex"])))
+    has_access = F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS)
+    lone = mine.rows.where(~has_access).withColumn("base_spans", found).withColumn("linked_spans", F.array().cast(SPAN))
 
-    some = base.where(F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS))
+    some = mine.rows.where(has_access).withColumn("row", digest(mine[id_col].cast("string"), mine[text_col]))
     weak = F.concat(spans(text, WEAK_SECRET, kind["secret"]), spans(text, ENDPOINT, kind["endpoint"]))
     strong = F.concat(spans(text, ACCESS, kind["access"]), spans(text, ASSIGNED, kind["secret"], 6, value_only=True))
-    some = some.select(row.alias("row"), strong.alias("strong"), weak.alias("weak")).where(F.size("weak") > 0)
-    linked = linked_parts(some.select("row", F.explode(F.concat("strong", "weak")).alias("part")), scope)
-
-    out = base.withColumn("base_spans", found).withColumn("__row", row).join(linked.withColumnRenamed("row", "__row"), "__row", "left")
+    parts = some.select("row", strong.alias("strong"), weak.alias("weak")).groupBy("row").agg(F.first("strong").alias("strong"), F.first("weak").alias("weak"), F.count(F.lit(1)).alias("n"))
+    parts = stored(parts, "secret-parts")
+    linked = linked_parts(parts.where(F.size("weak") > 0).select("row", F.explode(F.concat("strong", "weak")).alias("part")), scope)
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = salted_join(some.withColumn("base_spans", found), linked, "row", hot_keys(parts, "row", "n", total), mine.spread(), "left")
     free = F.filter(
         F.coalesce("linked", F.array().cast(SPAN)),
         lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
-    return out.select(*(F.col(f"`{c}`") for c in base.columns), "base_spans", F.array_sort(free).alias("linked_spans"))
+    met = met.withColumn("linked_spans", F.array_sort(free)).select(*lone.columns)
+    return mine.restore(lone.unionByName(met), "base_spans", "linked_spans")

@@ -3,8 +3,8 @@
 Rows fall into blocks by hash.  A communication matrix, drawn exactly (see
 ``hypergeometric``), says how many rows of each block go to each shard; rows
 are permuted in their block and dealt by it, exchanged, and permuted again in
-their shard.  Shards consist of cells of bounded size, which are columns of
-the matrix themselves, so no task holds a whole shard.
+their shard.  A large shard is permuted in cells, which random keys fall into
+and whose sizes are counted, so no task holds a whole shard.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.columns import text_or_empty, unit, without
+from gridloom.llm.columns import Own, or_empty, unit
 from gridloom.llm.hypergeometric import running, split_tree
+from gridloom.llm.storage import stored
+
+#: Hot rows whose hashes are sent to all tasks (8 MB); more meet by a shuffle.
+FEW = 1 << 20
 
 
 def shard_documents(
@@ -25,8 +29,7 @@ def shard_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     rows_per_cell: int = 64_000,
-    max_blocks: int = 4096,
-    max_cells: int = 256,
+    bytes_per_cell: int = 128 << 20,
 ) -> DataFrame:
     """All columns of ``docs`` and ``size`` long (UTF-8 bytes plus 16),
     ``text_crc32`` long, ``shard`` int, ``slot`` long (gapless from 0).
@@ -35,86 +38,69 @@ def shard_documents(
     sizes is equally likely.  Nulls: a null text counts as empty, a null id is
     hashed like a value.  Repeated rows are numbered and permuted like other
     rows; equal rows may swap their slots.  Rows that repeat an id and text more
-    often than a sixteenth of a block are counted, and dealt over all blocks.  An empty table gives an empty table.  Columns of ``docs``
-    named like the added ones are replaced.  ``rows_per_cell`` bounds the rows
-    of a task until ``max_blocks`` and ``max_cells`` (a shard) are reached;
-    beyond, cells grow.
+    often than a sixteenth of a block are counted, and dealt over all blocks.
+    An empty table gives an empty table.  Texts are carried whole; blocks and
+    cells hold about ``rows_per_cell`` rows and ``bytes_per_cell`` bytes of
+    text, at any size of the table, unless one text is longer.  Columns of
+    ``docs`` named like the added ones are replaced, others are kept whatever
+    their names.
     """
-    spark = docs.sparkSession
-    base = without(docs, "size", "text_crc32", "shard", "slot")
-    n = docs.count()
-    blocks = max(1, min(max_blocks, math.ceil(n / rows_per_cell)))
-    cells = max(1, min(max_cells, math.ceil(n / shards / rows_per_cell)))
+    mine = Own(docs)
+    text = or_empty(mine[text_col])
+    size = F.octet_length(text).cast("long") + 16
+    whole = mine.rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    n = whole["rows"]
+    blocks = max(1, math.ceil(n / rows_per_cell), math.ceil(whole["bytes"] / bytes_per_cell))
+    cells = math.ceil(blocks / shards)
 
-    text = text_or_empty(text_col)
-    same = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    keyed = base.withColumn("__same", same).withColumn("__copy", F.lit(None).cast("long"))
-    often = max(1, max(rows_per_cell, n // blocks) // 16)
-    hot = [] if blocks == 1 else base.groupBy(same.alias("__same")).count().where(F.col("count") > often).select("__same").collect()
-    if hot:
-        keyed = _hot_numbered(keyed, F.broadcast(spark.createDataFrame(hot, "__same long")), base.columns, often)
-    place_of = F.coalesce("__copy", F.lit(-1).cast("long"))
+    same = F.xxhash64(F.lit(seed), mine[id_col], mine[text_col])
+    keyed = mine.rows.withColumn("same", same).withColumn("copy", F.lit(None).cast("long"))
+    often = max(1, n // blocks // 16)
+    if blocks > 1:
+        hot = stored(mine.rows.groupBy(same.alias("same")).count().where(F.col("count") > often).select("same"), "hot-rows")
+        n_hot = hot.count()
+        if n_hot:
+            keyed = _hot_numbered(keyed, F.broadcast(hot) if n_hot <= FEW else hot, mine.columns, often)
+    place_of = F.coalesce("copy", F.lit(-1).cast("long"))
     keyed = keyed.select(
-        *(F.col(f"`{c}`") for c in base.columns),
-        (F.octet_length(text).cast("long") + 16).alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.floor(unit(F.xxhash64(F.lit(seed), "__same", place_of)) * blocks).cast("int").alias("__block"),
-        "__same",
-        "__copy",
+        *mine.columns, size.alias("size"), F.crc32(text).alias("text_crc32"), F.floor(unit(F.xxhash64(F.lit(seed), "same", place_of)) * blocks).cast("int").alias("block"), "same", "copy"
     )
-    filled = keyed.groupBy("__block").agg(F.count(F.lit(1)).alias("n"))
+    filled = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     sizes = (
-        spark.range(blocks)
-        .join(filled, F.col("id") == F.col("__block"), "left")
+        docs.sparkSession.range(blocks)
+        .join(filled, F.col("id") == F.col("block"), "left")
         .agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("n", F.lit(0)).alias("n")))).alias("all"))
         .select(F.col("all.n").cast("array<bigint>").alias("sizes"))
     )
     total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-
-    def part(whole, of: int, k):
-        """Size of part k of ``of`` nearly equal parts."""
-        return F.floor(whole / of).cast("long") + F.when(k < whole % of, 1).otherwise(0)
-
-    quotas = F.transform(
-        F.sequence(F.lit(0), F.lit(shards * cells - 1)),
-        lambda c: part(part(total, shards, F.floor(c / cells)), cells, c % cells).cast("long"),
-    )
+    quotas = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.floor(total / shards).cast("long") + F.when(s < total % shards, 1).otherwise(0).cast("long"))
     matrix = split_tree(sizes.select("sizes", quotas.alias("quotas")), blocks, seed)
-    ends = running(F.col("counts"))
-    per_shard = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda s: F.element_at("ends", s * cells))
-    matrix = matrix.select(F.col("leaf").alias("__block"), ends.alias("ends")).select("__block", "ends", per_shard.alias("shard_ends"))
+    matrix = matrix.select(F.col("leaf").alias("block"), running(F.col("counts")).alias("ends"))
 
     # equal rows of a block get numbers, so that their ranks and slots differ like those of other rows
-    twins = F.row_number().over(Window.partitionBy("__block", "__same").orderBy("text_crc32")).cast("long")
-    numbered = keyed.repartition("__block").withColumn("__copy", F.when(F.col("__copy").isNull(), -twins).otherwise(F.col("__copy")))
-    numbered = numbered.withColumns({f"__{k}": F.xxhash64(F.lit(seed + i), "__same", "__copy") for i, k in ((1, "first"), (2, "again"))}).drop("__same", "__copy")
-    order = ["__first", id_col, "text_crc32"]
-    ranked = numbered.withColumn("__rank", F.row_number().over(Window.partitionBy("__block").orderBy(*order)).cast("long"))
-    dealt = ranked.join(matrix, "__block").withColumn("shard", F.size(F.filter("shard_ends", lambda e: e < F.col("__rank"))))
+    twins = F.row_number().over(Window.partitionBy("block", "same").orderBy("text_crc32")).cast("long")
+    numbered = keyed.repartition("block").withColumn("copy", F.when(F.col("copy").isNull(), -twins).otherwise(F.col("copy")))
+    numbered = numbered.withColumns({k: F.xxhash64(F.lit(seed + i), "same", "copy") for i, k in ((1, "first"), (2, "again"))}).drop("copy")
+    ranked = numbered.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("first", "same", "text_crc32")).cast("long"))
+    dealt = ranked.join(matrix, "block").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("rank")))).withColumn("cell", F.floor(unit(F.col("again")) * cells).cast("int"))
+    dealt = dealt.select(*mine.columns, "size", "text_crc32", "shard", "cell", "again", "same")
+    place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("again", "same", "text_crc32")).cast("long") - 1
+    placed = dealt.withColumn("slot", place)
     if cells > 1:
-        within = F.filter(F.slice(F.col("ends"), F.col("shard") * cells + 1, F.lit(cells)), lambda e: e < F.col("__rank"))
-        dealt = dealt.withColumn("__cell", F.size(within))
-    else:
-        dealt = dealt.withColumn("__cell", F.lit(0))
-    dealt = dealt.drop("ends", "shard_ends", "__rank", "__block", "__first")
-    rows = part(F.lit(n).cast("long"), shards, F.col("shard"))
-    before = F.col("__cell") * F.floor(rows / cells) + F.least(F.col("__cell").cast("long"), rows % cells)
-    place = F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__again", id_col, "text_crc32"))
-    return (
-        dealt.withColumn("slot", (before + place - 1).cast("long"))
-        .select(*(F.col(f"`{c}`") for c in base.columns), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")
-    )
+        before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+        counted = dealt.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).select("shard", "cell", F.coalesce(before, F.lit(0)).alias("before"))
+        placed = placed.join(stored(counted, "shard-cells"), ["shard", "cell"]).withColumn("slot", F.col("before") + F.col("slot"))
+    return mine.restore(placed, "size", "text_crc32", "shard", "slot")
 
 
 def _hot_numbered(keyed: DataFrame, hot: DataFrame, columns: list[str], often: int) -> DataFrame:
-    """``keyed`` with ``__copy`` from 0 in the rows whose ``__same`` is in
-    ``hot``: equal rows are folded to counts where they lie, then spelt out
-    again in chunks of ``often``, so that no task holds all of them."""
-    names = [f"`{c}`" for c in columns]
-    counts = keyed.join(hot, "__same", "left_semi").groupBy("__same", *names).agg(F.count(F.lit(1)).alias("__n"))
+    """``keyed`` with ``copy`` from 0 in the rows whose ``same`` is in ``hot``:
+    equal rows are folded to counts where they lie, then spelt out again in
+    chunks of ``often``, so that no task holds all of them."""
+    counts = keyed.join(hot, "same", "left_semi").groupBy("same", *columns).agg(F.count(F.lit(1)).alias("n"))
     # rows that differ in other columns only are not equal: each kind has numbers of its own
-    kind = F.xxhash64("__same", F.to_json(F.struct(*names)))
-    chunks = counts.withColumn("__same", kind).withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(often).cast("long"))))
-    dealt = chunks.repartition(F.xxhash64("__same", "__from"))
-    spelt = dealt.withColumn("__copy", F.explode(F.sequence("__from", F.least(F.col("__from") + often, "__n") - 1)))
-    return keyed.join(hot, "__same", "left_anti").select(*names, "__same", "__copy").unionByName(spelt.select(*names, "__same", "__copy"))
+    kind = F.xxhash64("same", F.to_json(F.struct(*columns)))
+    chunks = counts.withColumn("same", kind).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(often).cast("long"))))
+    dealt = chunks.repartition(F.xxhash64("same", "from"))
+    spelt = dealt.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + often, "n") - 1)))
+    return keyed.join(hot, "same", "left_anti").select(*columns, "same", "copy").unionByName(spelt.select(*columns, "same", "copy"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once to the shared folder and read from there."""
+    """The rows of ``df``, written once to the shared folder and read from there.
+
+    Such tables stay, like Spark's checkpoints, for the owner of the folder to
+    clear, unless ``scratch`` is open."""
     path = fresh_path(df.sparkSession, name)
+    for paths in getattr(_open, "lists", []):
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_open = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the tables that this thread stored within.  By then
+    all that was derived from them has to be written elsewhere."""
+    _open.lists = [*getattr(_open, "lists", []), []]
+    try:
+        yield
+    finally:
+        *_open.lists, paths = _open.lists
+        for text in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(text)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.columns import text_or_empty, without
-from gridloom.llm.storage import fresh_path
+from gridloom.llm.columns import Own, or_empty
+from gridloom.llm.storage import shared_dir
 
-#: Chunks whose counts a worker remembers.
-REMEMBERED = 1 << 20
+#: Characters of the chunks whose counts a worker remembers, ENTRY more for each.
+REMEMBERED, ENTRY = 1 << 24, 16
+#: Longest chunk that is remembered.
+SHORT_CHUNK = 64
 #: Characters of unknown chunks that the library gets at a time.
 BATCH_CHARS = 1 << 18
 
@@ -74,13 +76,16 @@ def _library(kind: str, data: bytes):
 
 
 def counter(kind: str, data: bytes):
-    """A function from a list of texts to their token counts, without begin,
-    end or added tokens.  Where the tokenizer cuts at lone spaces anyway, the
-    library encodes each distinct chunk once and a worker remembers counts."""
+    """A function from a text to its token count, without begin, end or added
+    tokens.  Where the tokenizer cuts at lone spaces anyway, the library encodes
+    each distinct chunk of a text once, BATCH_CHARS at a time, and a worker
+    remembers the counts of short chunks, up to REMEMBERED characters of them."""
     library, cuts = _library(kind, data)
     known: dict[str, int] = {}
+    held = 0
 
     def learn(new: list[str]) -> None:
+        nonlocal held
         at = 0
         while at < len(new):
             end, chars = at, 0
@@ -88,68 +93,81 @@ def counter(kind: str, data: bytes):
                 chars += len(new[end])
                 end += 1
             known.update(zip(new[at:end], library([" " + x for x in new[at:end]]), strict=True))
+            held += chars + ENTRY * (end - at)
             at = end
 
     def one(text: str) -> int:
+        nonlocal held
         first, *rest = chunks(text)
         try:
             total = sum(map(known.__getitem__, rest))
         except KeyError:
-            learn(list({p for p in rest if p not in known}))
+            new = list({p for p in rest if p not in known})
+            learn(new)
             total = sum(map(known.__getitem__, rest))
+            for chunk in new:
+                if len(chunk) > SHORT_CHUNK:
+                    del known[chunk]
+                    held -= len(chunk) + ENTRY
         total += library([first])[0]
-        if len(known) > REMEMBERED:
+        if held > REMEMBERED:
             known.clear()
+            held = 0
         return total
 
-    return (lambda texts: [one(x) for x in texts]) if cuts else library
+    return one if cuts else (lambda text: library([text])[0])
 
 
 def _encoder(kind: str, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(kind, model.value)
         for batch in batches:
-            out = [count([x.as_py()])[0] for x in batch.column(1)]
+            out = [count(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["content", "n_tokens"])
 
     return run
 
 
+def default_cache(spark) -> str:
+    """The cache of the shared folder, which later calls meet again."""
+    return f"{shared_dir(spark)}/token-cache"
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``n_bytes``, ``n_tokens`` (long).
 
-    ``cache`` is a folder of Parquet files (content, tokenizer, n_tokens) that
-    all executors see; None begins a new one in the shared folder.  Distinct
+    ``cache`` is a folder of Parquet files (tokenizer, content, n_tokens) that
+    all executors see; None takes the one of the shared folder.  Distinct
     contents (sha-256 of the text; a null text is the empty one) that the cache
     lacks for this tokenizer version are encoded once each and appended; then
-    all documents join the counts by digest.  The digests of one call are
-    distinct and new to the cache, so a cache with one writer at a time has no
-    row twice.  Copies meet by partial aggregation before they are shuffled.
-
-    Repeated rows keep their own rows; an empty table gives an empty table;
-    columns of ``docs`` named like the added ones are replaced.  The tokenizer
-    file is read by the driver and sent along (a few MB).
+    all documents join the counts by digest.  A count depends on its digests
+    alone, so rows that two writers or a broken run left twice are equal and
+    are folded on reading.  Copies meet by partial aggregation before they are
+    shuffled.
+
+    Texts are read whole; a very long one is encoded by one task, in bounded
+    pieces where the tokenizer cuts at lone spaces.  Repeated rows keep their
+    own rows; an empty table gives an empty table; columns of ``docs`` named
+    like the added ones are replaced, others are kept whatever their names.
+    The tokenizer file is read by the driver and sent along (a few MB).
     """
     spark = docs.sparkSession
     kind, data = Path(tokenizer).suffix, Path(tokenizer).read_bytes()
     version = tokenizer_digest(kind, data)
-    cache = cache or fresh_path(spark, "token-cache")
+    cache = cache or default_cache(spark)
     schema = "content binary, tokenizer string, n_tokens long"
     spark.createDataFrame([], schema).write.mode("append").parquet(cache)
 
     def known() -> DataFrame:
-        return spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).select("content", "n_tokens")
+        held = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version)
+        return held.groupBy("content").agg(F.first("n_tokens").alias("n_tokens"))
 
-    base = without(docs, "n_bytes", "n_tokens")
-    text = text_or_empty(text_col)
+    mine = Own(docs)
+    text = or_empty(mine[text_col])
     content = F.unhex(F.sha2(text, 256))
-    distinct = base.select(content.alias("content"), text.alias("text")).groupBy("content").agg(F.first("text").alias("text"))
+    distinct = mine.rows.select(content.alias("content"), text.alias("text")).groupBy("content").agg(F.first("text").alias("text"))
     missing = distinct.join(known().select("content"), "content", "left_anti")
     encoded = missing.mapInArrow(_encoder(kind, spark.sparkContext.broadcast(data)), "content binary, n_tokens long")
     encoded.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    return (
-        base.withColumn("n_bytes", F.octet_length(text).cast("long"))
-        .withColumn("__content", content)
-        .join(known().withColumnRenamed("content", "__content"), "__content")
-        .select(*(F.col(f"`{c}`") for c in base.columns), "n_bytes", "n_tokens")
-    )
+    out = mine.rows.withColumn("n_bytes", F.octet_length(text).cast("long")).withColumn("content", content).join(known(), "content")
+    return mine.restore(out, "n_bytes", "n_tokens")

@@ -4,6 +4,7 @@ A listed expression is a host and the beginning of a path.  A URL may meet it
 in as many ways as its host has suffixes and its path has beginnings of listed
 lengths.  A blocked Bloom filter of the list passes the possible hits; only
 these reach an exact hash join with the list, which removes false positives.
+The other pages are judged where they lie and never move.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.columns import ascii_lower, without
+from gridloom.llm.columns import Own, ascii_lower, digest, hot_keys, salted_join
+from gridloom.llm.storage import stored
 
 #: Words of 64 bits in a block; each key sets one bit in each.
 LANES = 4
@@ -64,38 +66,50 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", otherwi
     subdomains if the URL's path starts with the rule's; the longest (host and
     path together) wins, and of equally long ones that with the longer host; a
     rule listed twice with two verdicts blocks.  URLs that no rule fits have a
-    null rule and the verdict ``otherwise``: they are not listed.  A null URL or
-    one without ``://`` has empty host and path and is not listed.  Columns
-    named like the added ones are replaced.
+    null rule and the verdict ``otherwise``: they are not listed.  Rules without
+    host or verdict, and such as no URL can meet, are left out.
+
+    A null URL or one without ``://`` has empty host and path and is not listed.
+    Whole URLs are read, however long.  Repeated rows are judged alike and all
+    stay; an empty table gives an empty table, an empty list lists nothing.
+    Columns named like the added ones are replaced, others are kept whatever
+    their names.  Possible hits are joined once for each distinct address, and
+    an address or rule that many pages meet is dealt over parts.
     """
-    base = without(pages, "host", "path", "rule", "verdict")
-    rules = rules.select(F.coalesce("host", F.lit("")).alias("rh"), F.coalesce("path", F.lit("")).alias("rp"), "verdict").where(F.col("verdict").isNotNull())
-    listed = rules.groupBy(F.concat("rh", "rp").alias("rule")).agg(F.max("verdict").alias("verdict"), F.max(F.length("rh")).alias("host_length"))
-    blocks = 1
-    while blocks * 64 * LANES < rules.count() * bits_per_key and blocks < MAX_BLOCKS:
+    mine = Own(pages)
+    can_fit = (F.length("rh") > 0) & ~F.col("rh").rlike("[/?#]") & ((F.col("rp") == "") | F.startswith("rp", F.lit("/")))
+    rules = rules.select(F.coalesce("host", F.lit("")).alias("rh"), F.coalesce("path", F.lit("")).alias("rp"), "verdict").where(F.col("verdict").isNotNull() & can_fit)
+    listed = rules.groupBy(F.concat("rh", "rp").alias("rule")).agg(F.max("verdict").alias("verdict"), F.max(F.length("rh")).alias("host_length"), F.max(F.size(F.split("rh", r"\."))).alias("depth"))
+    listed = stored(listed, "rules")
+    blocks, n_listed = 1, listed.count()
+    while blocks * 64 * LANES < n_listed * bits_per_key and blocks < MAX_BLOCKS:
         blocks *= 2
-    words = blocked_bloom(listed.select("rule"), "rule", blocks).scalar()
-    shapes = rules.agg(
-        F.sort_array(F.collect_set(F.length("rp"))).alias("lengths"),
-        F.sort_array(F.collect_set(F.size(F.split("rh", r"\.")))).alias("depths"),
+    shapes = listed.agg(
+        F.sort_array(F.collect_set(F.length("rule") - F.col("host_length"))).alias("lengths"),
+        F.sort_array(F.collect_set("depth")).alias("depths"),
     )
-    lengths, depths = shapes.select("lengths").scalar(), shapes.select("depths").scalar()
+    shape = stored(shapes.join(blocked_bloom(listed, "rule", blocks), F.lit(True)), "rule-shapes")
 
-    split = base.withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
+    split = mine.rows.withColumn("host", url_host(mine[url_col])).withColumn("path", url_path(mine[url_col]))
+    split = split.withColumns({c: shape.select(c).scalar() for c in ("lengths", "depths", "words")})
     labels = F.split("host", r"\.")
-    tails = F.transform(F.filter("__depths", lambda d: d <= F.size(labels)), lambda d: F.array_join(F.slice(labels, F.size(labels) - d + 1, d), "."))
-    heads = F.transform(F.filter("__lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    ways = (
-        split.select("host", "path").where(F.length("host") > 0)
-        .withColumn("__depths", depths).withColumn("__lengths", lengths)
-        .select("host", "path", F.explode(F.flatten(F.transform(tails, lambda t: F.transform(heads, lambda p: F.concat(t, p))))).alias("rule"))
-    )
-    possible = ways.where(may_contain(words, F.col("rule"), blocks))
+    tails = F.transform(F.filter("depths", lambda d: (d <= F.size(labels)) & (F.length("host") > 0)), lambda d: F.array_join(F.slice(labels, F.size(labels) - d + 1, d), "."))
+    heads = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    ways = F.flatten(F.transform(tails, lambda t: F.transform(heads, lambda p: F.concat(t, p))))
+    hits = F.filter(ways, lambda w: may_contain(F.col("words"), w, blocks))
+    marked = split.withColumn("hits", hits).drop("lengths", "depths", "words")
+    clear = marked.where(F.size("hits") == 0).select(*mine.columns, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+    met = marked.where(F.size("hits") > 0).withColumn("page", digest(F.col("host"), F.col("path")))
+
+    addresses = stored(met.groupBy("page").agg(F.first("hits").alias("hits"), F.count(F.lit(1)).alias("n")), "addresses")
+    total = addresses.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.size("hits")), F.lit(0)).alias("ways")).first()
+    possible = addresses.select("page", F.explode("hits").alias("rule"))
+    by_rule = possible.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
     best = (
-        possible.join(listed, "rule")
-        .groupBy(F.col("host").alias("__h"), F.col("path").alias("__p"))
+        salted_join(possible, listed, "rule", hot_keys(by_rule, "rule", "n", total["ways"]), F.col("page"))
+        .groupBy("page")
         .agg(F.max(F.struct(F.length("rule").alias("n"), F.col("host_length"), F.col("rule"), F.col("verdict"))).alias("best"))
     )
-    return split.join(best, (split["host"] == best["__h"]) & (split["path"] == best["__p"]), "left").select(
-        *(F.col(f"`{c}`") for c in base.columns), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict")
-    )
+    judged = salted_join(met.drop("hits"), best, "page", hot_keys(addresses, "page", "n", total["rows"]), mine.spread(), "left")
+    judged = judged.select(*mine.columns, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+    return mine.restore(clear.unionByName(judged), "host", "path", "rule", "verdict")

@@ -3,17 +3,23 @@
 The similarity and containment operators all read whole texts as sequences of
 words.  Words are hashed in bulk with numpy: a 256-entry table tells which
 bytes belong to words (and lower-cases A-Z), the bytes of each word feed a
-polynomial modulo 2**64, and a finaliser spreads the result.  A text is worked
-off in chunks that end between words, so memory follows the chunk, not the
-text.  Hashes depend on the word alone: every process gets the same values.
+polynomial modulo 2**64, and a finaliser spreads the result.  Such polynomials
+are alike for some long words whatever the root, so words of more than
+LONG_WORD bytes take a BLAKE2b digest instead.  A text is worked off in chunks
+that end between words, so memory follows the chunk, not the text.  Hashes
+depend on the word alone: every process gets the same values.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Bytes worked off at a time; a longer word makes a longer chunk.
 CHUNK = 1 << 20
+#: Bytes of a word up to which it is hashed by the polynomial.
+LONG_WORD = 32
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,14 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4095, _ROOT)]).astype(np.uint64))
-
-
-def _power(n: int) -> np.ndarray:
-    global _powers
-    while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * (_powers[-1] * _ROOT)])
-    return _powers
+_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(LONG_WORD - 1, _ROOT)]).astype(np.uint64))
 
 
 def _hash_chunk(data: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -71,8 +70,11 @@ def _hash_chunk(data: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.n
     kept = low[data[inside]].astype(np.uint64)
     firsts = np.cumsum(lengths) - lengths
     place = np.arange(len(kept)) - np.repeat(firsts, lengths)
-    weighted = (kept + np.uint64(1)) * _power(int(lengths.max()))[place]
-    return mix(np.add.reduceat(weighted, firsts) + lengths.astype(np.uint64))
+    weighted = (kept + np.uint64(1)) * _POWERS[np.minimum(place, LONG_WORD - 1)]
+    out = mix(np.add.reduceat(weighted, firsts) + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(low[data[starts[i] : ends[i]]].tobytes(), digest_size=8).digest())
+    return out
 
 
 def word_hashes(text: bytes, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
