@@ -4,6 +4,10 @@ leaks, source weights, shards.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``; all but the last keep
 the columns of ``documents``.
+
+All stages: texts are judged whole, however long; an empty table gives an empty
+table; rows are documents, repeated ones included; other columns than those of
+``documents`` are left out, and what they are called doesn't matter.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import contamination, language, mixing, near_duplicates, sharding
-from gridloom.llm.storage import stored
+from gridloom.llm.storage import fresh_path, scratch, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document stays if its language is at least this probable.
@@ -20,7 +24,9 @@ LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or without a probable language go."""
+    """Documents without letters or without a probable language go: null and
+    empty texts with them.  A null ``lang`` isn't learned from; a null
+    ``doc_id`` neither; both are judged like others."""
     model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()))
     out = language.identify(docs, model)
     return out.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
@@ -48,19 +54,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.  Null and empty
+    texts hold none; an empty benchmark has none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = contamination.find_contamination(docs, benchmark, window=10)
     return out.where(F.size("hit_spans") == 0).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, repeated or left out so that sources meet their weights."""
+    """Whole documents, repeated or left out so that sources meet their weights.
+    A null ``source`` is a source; documents without words cost nothing and are
+    taken with the documents around them."""
     return mixing.mixed_documents(docs, weights=(3, 1, 2), share=1.5, cap=2.0).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row with its shard and its slot there."""
+    """Each row with its shard and its slot there; copies of a row are permuted
+    like other rows.  Nulls are values."""
     return sharding.shard_documents(docs, shards=40)
 
 
@@ -72,7 +82,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Language, near duplicates and shards have no SQL form; tests compare with brute force.
+#: Language, near duplicates and shards have no SQL form; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
@@ -80,5 +90,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = fresh_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
