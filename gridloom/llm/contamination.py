@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from gridloom.llm import wordscan
 from gridloom.llm.columns import Own, hot_keys, or_empty, salted_join
 from gridloom.llm.storage import stored
-from gridloom.llm.url_filter import LANES, MAX_BLOCKS, blocked_bloom, may_contain
+from gridloom.llm.url_filter import bloom_of, may_contain
 
 SHINGLE = 3
-#: A word before A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word before A-Z are lower-cased.  What ends words is listed one by one:
+#: Java looks such characters up in a table and tries ranges in turn.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(0x80) if not chr(c).isalnum()) + "]+"
 _WORD = re.compile(WORD)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Bits of the filter of prefix shingles: FILTER_BITS for each, 2**MOST_BITS (16 MB) at most.
@@ -122,8 +123,7 @@ def _places(sent, window: int, sizes: list[int]):
         for batch in batches:
             contents, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[tuple] = []
-            for first, words, bounds in wordscan.scan([x.encode() for x in texts], tables):
-                found: dict[int, list[tuple[int, int]]] = {}
+            for first, words, bounds, starts, data in wordscan.scan([x.encode() for x in texts], tables):
                 for k in sizes:
                     if len(words) < k:
                         continue
@@ -131,13 +131,12 @@ def _places(sent, window: int, sizes: list[int]):
                     near = np.flatnonzero(_passes(shingles, bits, table))
                     doc = np.searchsorted(bounds, near, side="right") - 1
                     inside = near + k <= bounds[doc + 1]
-                    for p, d, shingle in zip(near[inside].tolist(), doc[inside].tolist(), shingles[near[inside]].view(np.int64).tolist(), strict=True):
-                        found.setdefault(d, []).append((p - int(bounds[d]), shingle))
-                for d, here in found.items():
-                    spelt, n = words_of(texts[first + d]), int(bounds[d + 1] - bounds[d])
-                    for p, shingle in here:
-                        begin = max(0, p - window + 1)
-                        out.append((contents[first + d], n, p, shingle, p - begin, " ".join(spelt[begin : p + window])))
+                    near, doc = near[inside], doc[inside]
+                    for p, d, shingle in zip(near.tolist(), doc.tolist(), shingles[near].view(np.int64).tolist(), strict=True):
+                        low, high = int(bounds[d]), int(bounds[d + 1])
+                        begin, end = max(low, p - window + 1), min(high, p + window)
+                        spelt = words_of(data[starts[begin] : starts[end] if end < len(starts) else len(data)].decode())
+                        out.append((contents[first + d], high - low, p - low, shingle, p - begin, " ".join(spelt)))
                         if len(out) >= 20_000:
                             yield _batch(out)
                             out = []
@@ -210,13 +209,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     # documents that can't be among the found stay where they are
     whole = found.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    blocks = 1
-    while blocks * 64 * LANES < whole["texts"] * 16 and blocks < MAX_BLOCKS:
-        blocks *= 2
-    maybe = may_contain(blocked_bloom(found.select("content"), "content", blocks).scalar(), content, blocks)
+    bloom, blocks = bloom_of(found.select("content"), "content", whole["texts"])
+    maybe = may_contain(F.col("bloom"), content, blocks)
     none = {"hit_spans": F.array().cast("array<struct<start:int,end:int>>"), "hit_items": F.array().cast("array<string>")}
-    rows = mine.rows.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
-    clear = rows.where(~maybe).withColumns(none)
-    told = salted_join(rows.where(maybe).withColumn("content", content), found.select("content", *none), "content", hot_keys(found, "content", "n", whole["rows"]), mine.spread(), "left")
+    counted = F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words")
+    clear, moved = (mine.rows.withColumn("bloom", bloom).where(x).select(*mine.columns, counted) for x in (~maybe, maybe))
+    clear = clear.withColumns(none)
+    told = salted_join(moved.withColumn("content", content), found.select("content", *none), "content", hot_keys(found, "content", "n", whole["rows"]), mine.spread(), "left")
     told = told.withColumns({c: F.coalesce(c, empty) for c, empty in none.items()}).select(*clear.columns)
     return mine.restore(clear.unionByName(told), "n_words", "hit_spans", "hit_items")

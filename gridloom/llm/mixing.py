@@ -19,7 +19,7 @@ from gridloom.llm.columns import Own, or_empty
 from gridloom.llm.hypergeometric import split_tree
 from gridloom.llm.storage import stored
 
-WORDS = r"[^\x20\x09-\x0D]+"
+WORDS = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 ADDED = ("size", "source_size", "target", "placements")
 
 

@@ -28,7 +28,7 @@ from gridloom.llm import wordscan
 from gridloom.llm.columns import HOT, hot_keys, salted_join
 from gridloom.llm.components import connected_components
 from gridloom.llm.storage import stored
-from gridloom.llm.url_filter import LANES, MAX_BLOCKS, blocked_bloom, may_contain
+from gridloom.llm.url_filter import bloom_of, may_contain
 
 #: The rarity table has a fixed 2**SKETCH_BITS counters, whatever the input.
 SKETCH_BITS = 20
@@ -46,7 +46,7 @@ BLOCK_SHINGLES = 1_000_000
 
 def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    for _, words, bounds in wordscan.scan([(x or "").encode() for x in texts], wordscan.space_separated()):
+    for _, words, bounds, *_ in wordscan.scan([(x or "").encode() for x in texts], wordscan.space_separated()):
         every = wordscan.shingle_hashes(words, size) if len(words) >= size else np.empty(0, dtype=np.uint64)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield np.unique(every[a : b - size + 1] if b - a >= size else wordscan.shingle_hashes(words[a:b], size))
@@ -80,7 +80,7 @@ def _count_shingles(size: int):
         total = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for _, words, bounds in wordscan.scan([(x or "").encode() for x in texts], wordscan.space_separated()):
+            for _, words, bounds, *_ in wordscan.scan([(x or "").encode() for x in texts], wordscan.space_separated()):
                 if len(words) >= size:
                     at = wordscan.shingle_hashes(words, size) >> np.uint64(64 - SKETCH_BITS)
                     total += np.bincount(at.astype(np.int64), minlength=len(total)).astype(np.uint32)
@@ -368,11 +368,8 @@ def labelled_rows(docs: DataFrame, percent: int, size: int, id_col: str = "doc_i
     # a member with its text, once, wherever it goes from here
     of_member = members.groupBy("member").agg(F.sort_array(F.collect_list("leader")).alias("leaders"))
     known = stored(of_member.join(classes.withColumnRenamed("digest", "member"), "member"), "members")
-    blocks, n_known = 1, known.count()
-    while blocks * 64 * LANES < n_known * 16 and blocks < MAX_BLOCKS:
-        blocks *= 2
-    bloom = blocked_bloom(known.select("rep"), "rep", blocks).scalar()
-    texts = slim.select("rep", "text").where(may_contain(bloom, F.col("rep"), blocks)).groupBy("rep").agg(F.first("text").alias("text"))
+    bloom, blocks = bloom_of(known.select("rep"), "rep", known.count())
+    texts = slim.select("rep", "text", bloom.alias("bloom")).where(may_contain(F.col("bloom"), F.col("rep"), blocks)).groupBy("rep").agg(F.first("text").alias("text"))
     known_texts = known.join(texts, "rep").select("member", "leaders", "copies", "n", "matches", "prefix", "text")
 
     star = members.join(known.select("member", "n"), "member").groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))

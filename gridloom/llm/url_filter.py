@@ -50,13 +50,26 @@ def blocked_bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return every.agg(F.flatten(F.sort_array(F.collect_list(packed))["w"]).alias("words"))
 
 
+def bloom_of(keys: DataFrame, key: str, n: int, bits_per_key: int = 16) -> tuple[Column, int]:
+    """The filter's words, to be added as a column, and its blocks, for ``n`` keys."""
+    blocks = 1
+    while blocks * 64 * LANES < n * bits_per_key and blocks < MAX_BLOCKS:
+        blocks *= 2
+    return blocked_bloom(keys, key, blocks).scalar(), blocks
+
+
 def may_contain(words: Column, key: Column, blocks: int) -> Column:
-    at = (_block(key, blocks) * LANES).cast("int")
-    tests = [F.call_function("shiftrightunsigned", F.get(words, at + i), b).bitwiseAND(F.lit(1).cast("long")) == 1 for i, b in enumerate(_bits(key))]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out
+    """Whether the filter has the key's bit in each lane of its block; ``key``
+    is worked out twice, not once a lane."""
+    lanes = F.slice(words, (_block(key, blocks) * LANES + 1).cast("int"), F.lit(LANES))
+    bit = lambda h: h.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    held = lambda h, lane: F.call_function("shiftrightunsigned", lane, bit(h)).bitwiseAND(F.lit(1).cast("long")) == 1
+    return F.aggregate(
+        lanes,
+        F.struct(F.xxhash64(key, F.lit(1)).alias("h"), F.lit(True).alias("ok")),
+        lambda a, lane: F.struct(F.shiftrightunsigned(a["h"], 6).alias("h"), (a["ok"] & held(a["h"], lane)).alias("ok")),
+        lambda a: a["ok"],
+    )
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", otherwise: str = "allow", bits_per_key: int = 16) -> DataFrame:
@@ -81,17 +94,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", otherwi
     rules = rules.select(F.coalesce("host", F.lit("")).alias("rh"), F.coalesce("path", F.lit("")).alias("rp"), "verdict").where(F.col("verdict").isNotNull() & can_fit)
     listed = rules.groupBy(F.concat("rh", "rp").alias("rule")).agg(F.max("verdict").alias("verdict"), F.max(F.length("rh")).alias("host_length"), F.max(F.size(F.split("rh", r"\."))).alias("depth"))
     listed = stored(listed, "rules")
-    blocks, n_listed = 1, listed.count()
-    while blocks * 64 * LANES < n_listed * bits_per_key and blocks < MAX_BLOCKS:
-        blocks *= 2
     shapes = listed.agg(
         F.sort_array(F.collect_set(F.length("rule") - F.col("host_length"))).alias("lengths"),
         F.sort_array(F.collect_set("depth")).alias("depths"),
     )
-    shape = stored(shapes.join(blocked_bloom(listed, "rule", blocks), F.lit(True)), "rule-shapes")
+    shape = stored(shapes, "rule-shapes")
+    words, blocks = bloom_of(listed.select("rule"), "rule", listed.count(), bits_per_key)
 
     split = mine.rows.withColumn("host", url_host(mine[url_col])).withColumn("path", url_path(mine[url_col]))
-    split = split.withColumns({c: shape.select(c).scalar() for c in ("lengths", "depths", "words")})
+    split = split.withColumns({"lengths": shape.select("lengths").scalar(), "depths": shape.select("depths").scalar(), "words": words})
     labels = F.split("host", r"\.")
     tails = F.transform(F.filter("depths", lambda d: (d <= F.size(labels)) & (F.length("host") > 0)), lambda d: F.array_join(F.slice(labels, F.size(labels) - d + 1, d), "."))
     heads = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))

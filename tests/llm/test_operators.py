@@ -382,7 +382,9 @@ def test_word_hashes_of_long_texts(monkeypatch):
     monkeypatch.setattr(wordscan, "CHUNK", 700)
     assert (wordscan.word_hashes(text.encode(), wordscan.space_separated()) == whole).all()
     parts = list(wordscan.scan([text.encode(), b"a b", b"", text.encode()], wordscan.space_separated()))
-    assert sum(int(bounds[-1]) for _, _, bounds in parts) == 2 * len(words) + 2
+    for _, hashes, _, starts, data in parts:
+        assert [wordscan.word_hashes(data[a:].split()[0], wordscan.space_separated())[0] for a in starts[:50]] == hashes[:50].tolist()
+    assert sum(int(bounds[-1]) for _, _, bounds, *_ in parts) == 2 * len(words) + 2
 
 
 def test_contamination_shared_by_very_many(spark, monkeypatch):
