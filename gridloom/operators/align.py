@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,17 +68,46 @@ def neighbours(sites: DataFrame, sources: DataFrame, width: float, circle: bool
     return met.where(F.col("distance") <= width) if circle else met.where((F.abs(dy) <= width) & (F.abs(dx) <= width))
 
 
-def closest(pairs: DataFrame, site: str, value: str) -> DataFrame:
-    """Each site's nearest source value; ties to the smaller source id."""
-    best = F.min(F.struct("distance", "src_id", F.col(f"src_{value}").alias(value)))
-    return pairs.groupBy(site).agg(best.alias("b")).select(site, f"b.{value}", "b.distance")
+def match_label(pairs: DataFrame, label: str) -> DataFrame:
+    """The pairs whose source has the site's ``label``."""
+    return pairs.where(F.col(f"src_{label}") == F.col(label))
 
 
-def neighbourhood_mean(pairs: DataFrame, site: str, value: str, weighted: bool = False) -> DataFrame:
-    """Plain or inverse-distance means, distances no less than 0.1."""
+def closest(pairs: DataFrame, sites: DataFrame, site: str, value: str) -> DataFrame:
+    """Each site's nearest source value that isn't missing; ties to the smaller
+    source id.  Sites without any stay, with a missing value."""
+    best = F.min(F.when(F.col(f"src_{value}").isNotNull(), F.struct("distance", "src_id", F.col(f"src_{value}").alias(value))))
+    found = pairs.groupBy(site).agg(best.alias("b")).select(site, f"b.{value}", "b.distance")
+    return sites.select(site).distinct().join(found, site, "left")
+
+
+def neighbourhood_mean(pairs: DataFrame, sites: DataFrame, site: str, value: str, weighted: bool = False) -> DataFrame:
+    """Plain or inverse-distance means, distances no less than 0.1, and
+    ``std``, the deviation within the neighbourhood.  Sites without neighbours
+    stay, with missing values."""
     v = F.col(f"src_{value}")
     w = 1 / F.greatest(F.col("distance"), F.lit(0.1)) if weighted else F.lit(1.0)
-    return pairs.groupBy(site).agg((F.sum(v * w) / F.sum(F.when(v.isNotNull(), w))).alias(value))
+    mean = lambda x: F.try_divide(F.sum(x * w), F.sum(F.when(v.isNotNull(), w)))
+    within = Window.partitionBy(site)
+    middle = F.try_divide(F.sum(v * w).over(within), F.sum(F.when(v.isNotNull(), w)).over(within))
+    found = pairs.withColumn("__m", middle).groupBy(site).agg(mean(v).alias(value), F.sqrt(mean(F.pow(v - F.col("__m"), 2))).alias("std"))
+    return sites.select(site).distinct().join(found, site, "left")
+
+
+#: How site values are taken from a neighbourhood, by name.
+SITE_EXTRACT = {
+    "closest": lambda pairs, sites, site, value: closest(pairs, sites, site, value).select(site, value),
+    "mean": lambda pairs, sites, site, value: neighbourhood_mean(pairs, sites, site, value).select(site, value),
+    "weighted_mean": lambda pairs, sites, site, value: neighbourhood_mean(pairs, sites, site, value, weighted=True).select(site, value),
+}
+
+
+def extract_sites(sites: DataFrame, sources: DataFrame, how: str, width: float, value: str = "value", site: str = "site_id", circle: bool = True, label: str | None = None) -> DataFrame:
+    """``value`` of the sources (``id``, ``lat``, ``lon``) at the sites by one of
+    SITE_EXTRACT, over sources within ``width`` degrees and, with ``label``, of
+    the site's label."""
+    pairs = neighbours(sites, sources, width, circle)
+    return SITE_EXTRACT[how](match_label(pairs, label) if label else pairs, sites, site, value)
 
 
 def nearest_axis(spark: SparkSession, target: np.ndarray, source: np.ndarray, name: str, extend: bool = True) -> DataFrame:
@@ -100,11 +129,13 @@ def regrid_nearest(df: DataFrame, lat: DataFrame, lon: DataFrame) -> DataFrame:
     return moved.select(F.col("lat_to").alias("lat_idx"), F.col("lon_to").alias("lon_idx"), *kept)
 
 
-def common_timescale(ref: DataFrame, com: DataFrame, ref_days: float, com_days: float, keys: list[str]) -> DataFrame:
+def common_timescale(com: DataFrame, ref_days: float | None, com_days: float | None, keys: list[str]) -> DataFrame:
     """The comparison at the reference's steps: as it is within three days, or
     as monthly or annual means of finer steps."""
-    if abs(ref_days - com_days) <= 3:
-        return com
+    if ref_days is None or (com_days is not None and abs(ref_days - com_days) <= 3):
+        return com  # a single step has no cadence to be brought to
+    if com_days is None:
+        raise ValueError("a single step can't be brought to several")
     if abs(ref_days - 30) <= 3 and com_days < 28:
         return com.groupBy(*keys, "year", "month").agg(F.avg("value").alias("value"))
     if abs(ref_days - 365) <= 6 and com_days < 350:

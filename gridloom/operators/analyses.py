@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.measures import month_days, season, weighted_mean
-from gridloom.operators.reduce import integrate, weighted_std
+from gridloom.operators.reduce import integrate, moments
 
 CELL = ["lat_idx", "lon_idx"]
 
@@ -21,11 +21,11 @@ def taylor(ratio: Column, corr: Column) -> Column:
 
 def bias_maps(ref: DataFrame, com: DataFrame, weight: Column, cell: list[str] = CELL) -> DataFrame:
     """Per cell: ref and com time means, bias, and the score of the bias over
-    the reference's deviation in time."""
-    mean_r = integrate(ref, cell, weight).withColumnRenamed("value", "ref")
-    std_r = weighted_std(ref, cell, weight).withColumnRenamed("value", "norm")
+    the reference's deviation in time; over its mean if it has a single step."""
+    single = ref.agg((F.countDistinct("year", "month") <= 1).alias("s")).scalar()
+    mean_r = moments(ref, cell, weight, "ref", "norm").withColumn("norm", F.when(single, F.col("ref")).otherwise(F.col("norm")))
     mean_c = integrate(com, cell, weight).withColumnRenamed("value", "com")
-    both = mean_r.join(std_r, cell).join(mean_c, cell, "full_outer")
+    both = mean_r.join(mean_c, cell, "full_outer")
     bias = F.col("com") - F.col("ref")
     return both.withColumn("bias", bias).withColumn("score", exponential(F.try_divide(F.abs(bias), F.abs(F.col("norm")))))
 
@@ -49,11 +49,13 @@ def rmse_maps(ref: DataFrame, com: DataFrame, weight: Column, cell: list[str] =
 
 def cycle_maps(df: DataFrame, cell: list[str] = CELL) -> DataFrame:
     """Per cell: mean and deviation of the yearly amplitude, and the position
-    (0-11) of the largest month of the mean year, the first of equal ones."""
+    (0-11) of the largest month of the mean year, the first of equal ones.
+    Missing months count as 0 beside others; a cell without values has none."""
     yearly = df.groupBy(*cell, "year").agg((F.max("value") - F.min("value")).alias("a"))
     amp = yearly.groupBy(*cell).agg(F.avg("a").alias("amp"), F.stddev_pop("a").alias("amp_std"))
     monthly = df.groupBy(*cell, "month").agg(F.avg("value").alias("v"))
-    top = monthly.groupBy(*cell).agg((-F.max(F.struct(F.coalesce("v", F.lit(0.0)), (-(F.col("month") - 1)).alias("p")))["p"]).alias("tmax"))
+    first = -F.max(F.struct(F.coalesce("v", F.lit(0.0)), (-(F.col("month") - 1)).alias("p")))["p"]
+    top = monthly.groupBy(*cell).agg(F.when(F.count("v") > 0, first).alias("tmax"))
     return amp.join(top, cell)
 
 
@@ -93,12 +95,14 @@ def histogram2d(points: DataFrame, n: int = 25) -> DataFrame:
     return counted.select("ind_bin", "dep_bin", (F.col("count") / F.sum("count").over(Window.partitionBy())).alias("share"))
 
 
-def hellinger(ref: DataFrame, com: DataFrame, cell: list[str], lo: float, hi: float, n: int) -> DataFrame:
-    """Per cell, one less the Hellinger distance of the binned values; the
-    last bin is open at its upper end."""
+def hellinger(ref: DataFrame, com: DataFrame, cell: list[str], n: int = 25) -> DataFrame:
+    """Per cell, one less the Hellinger distance of the values in ``n`` bins
+    over the range of both datasets, ends included."""
+    span = ref.select("value").unionByName(com.select("value")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        b = df.withColumn("bin", bin_of(F.col("value"), F.lit(lo), F.lit(hi), n)).where(F.col("bin").between(0, n - 1))
+        b = df.where(F.col("value").isNotNull()).withColumn("bin", F.least(F.lit(n - 1), bin_of(F.col("value"), lo, hi, n)))
         c = b.groupBy(*cell, "bin").count()
         return c.select(*cell, "bin", (F.col("count") / F.sum("count").over(Window.partitionBy(*cell))).alias(name))
 

@@ -27,6 +27,13 @@ def weighted_std(df: DataFrame, keys: list[str], weight: Column, value: str = "v
     return df.withColumn("__m", mean).groupBy(*keys).agg(F.sqrt(weighted_mean((v - F.col("__m")) ** 2, weight)).alias(value))
 
 
+def moments(df: DataFrame, keys: list[str], weight: Column, mean_name: str, std_name: str, value: str = "value") -> DataFrame:
+    """Weighted mean and population deviation, over one partitioning."""
+    v, within = F.col(value), Window.partitionBy(*keys)
+    mean = F.try_divide(F.sum(v * weight).over(within), F.sum(F.when(v.isNotNull(), weight)).over(within))
+    return df.withColumn("__m", mean).groupBy(*keys).agg(F.first("__m").alias(mean_name), F.sqrt(weighted_mean((v - F.col("__m")) ** 2, weight)).alias(std_name))
+
+
 def coarsen(df: DataFrame, block: int, area: Column, keys: list[str], value: str = "value") -> DataFrame:
     """Area-weighted means of ``block`` by ``block`` cells; conserves the mean."""
     to = [F.floor(F.col(c) / block).cast("int").alias(c) for c in ("lat_idx", "lon_idx")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Label, name, south, north, west, east.
@@ -30,10 +30,27 @@ def boxes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BOXES, "region string, name string, south double, north double, west double, east double")
 
 
+def box_ends(cells: DataFrame, regions: DataFrame, axis: str, low: str, high: str) -> DataFrame:
+    """(region, ``axis``_lo, ``axis``_hi): the points of a grid's axis nearest
+    to both edges of each box; ties to the larger coordinate.  An axis meets the
+    table of regions, both small."""
+    near = lambda edge, name: F.min(F.struct(F.abs(F.col(axis) - F.col(edge)).alias("gap"), (-F.col(axis)).alias("minus"))).alias(name)
+    ends = regions.join(cells.select(axis).distinct(), F.lit(True)).groupBy("region").agg(near(low, "a"), near(high, "b"))
+    return ends.select("region", (-F.col("a.minus")).alias(f"{axis}_lo"), (-F.col("b.minus")).alias(f"{axis}_hi"))
+
+
 def in_box(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """Cells or sites (``lat``, ``lon``) with every region whose box holds them."""
-    held = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
-    return cells.join(F.broadcast(regions), held)
+    """Cells or sites (``lat``, ``lon``) with every region whose box holds them.
+
+    Sites lie in a box by their coordinates; the cells of a grid reach from the
+    points nearest to a box's edges, which may lie outside.  Boxes are spelt out
+    along the axes first, so that cells meet them by equal coordinates."""
+    if "site_id" in cells.columns:
+        along = regions.join(cells.select("lat").distinct(), F.col("lat").between(F.col("south"), F.col("north")))
+        return cells.join(along, "lat").where(F.col("lon").between(F.col("west"), F.col("east")))
+    ends = box_ends(cells, regions, "lat", "south", "north").join(box_ends(cells, regions, "lon", "west", "east"), "region")
+    along = regions.join(ends, "region").join(cells.select("lat").distinct(), F.col("lat").between(F.col("lat_lo"), F.col("lat_hi")))
+    return cells.join(along, "lat").where(F.col("lon").between(F.col("lon_lo"), F.col("lon_hi"))).drop("lat_lo", "lat_hi", "lon_lo", "lon_hi")
 
 
 def scalars_to_map(cells: DataFrame, regions: DataFrame, scalars: DataFrame) -> DataFrame:
@@ -89,8 +106,13 @@ class Regions:
         found = self._held(label)
         if label in self._boxes:
             _, _, south, north, west, east = found
-            held = F.col("lat").between(south, north) & F.col("lon").between(west, east)
-            return cells.where(held) if trim else cells.withColumn(value, F.when(held, F.col(value)))
+            if "site_id" in cells.columns:
+                held = F.col("lat").between(south, north) & F.col("lon").between(west, east)
+                return cells.where(held) if trim else cells.withColumn(value, F.when(held, F.col(value)))
+            if trim:
+                return nearest_box(nearest_box(cells, "lat", south, north), "lon", west, east)
+            rows = cells.withColumns({"__lat": F.col("lat").between(*nearest_ends(cells, "lat", south, north)), "__lon": F.col("lon").between(*nearest_ends(cells, "lon", west, east))})
+            return rows.withColumn(value, F.when(F.col("__lat") & F.col("__lon"), F.col(value))).select(*cells.columns)
         inside = found[2].where(F.col("label") == label).select("lat_idx", "lon_idx").distinct()
         if trim:
             return cells.join(inside, ["lat_idx", "lon_idx"], "left_semi")
@@ -98,13 +120,17 @@ class Regions:
         return marked.withColumn(value, F.when(F.col("__in"), F.col(value))).select(*cells.columns)
 
 
+def nearest_ends(cells: DataFrame, axis: str, lo: float, hi: float) -> tuple[Column, Column]:
+    """The axis points nearest to both, as scalars; ties to the larger coordinate."""
+    ends = cells.agg(*(F.min(F.struct(F.abs(F.col(axis) - at).alias("gap"), (-F.col(axis)).alias("minus"))).alias(n) for at, n in ((lo, "a"), (hi, "b"))))
+    ends = ends.select((-F.col("a.minus")).alias("a"), (-F.col("b.minus")).alias("b"))
+    return ends.select("a").scalar(), ends.select("b").scalar()
+
+
 def nearest_box(cells: DataFrame, axis: str, lo: float, hi: float) -> DataFrame:
     """Cells from the axis point nearest to ``lo`` to that nearest to ``hi``,
     which may lie outside; ties to the larger coordinate."""
-    points = cells.select(axis).distinct()
-    near = lambda at, name: F.min(F.struct(F.abs(F.col(axis) - at).alias("gap"), (-F.col(axis)).alias("minus"))).alias(name)
-    ends = points.agg(near(lo, "a"), near(hi, "b")).select((-F.col("a.minus")).alias("__lo"), (-F.col("b.minus")).alias("__hi"))
-    return cells.join(F.broadcast(ends), F.col(axis).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+    return cells.where(F.col(axis).between(*nearest_ends(cells, axis, lo, hi)))
 
 
 def quantile_map(cells: DataFrame, regions: DataFrame, database: DataFrame, variable: str, quantile: int, kind: str = "bias") -> DataFrame:

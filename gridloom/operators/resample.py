@@ -17,7 +17,14 @@ def annual_mean(df: DataFrame, keys: list[str], value: str = "value") -> DataFra
 
 
 def monthly_mean(df: DataFrame, keys: list[str], when: str, value: str = "value") -> DataFrame:
-    return df.groupBy(*keys, F.year(when).alias("year"), F.month(when).alias("month")).agg(F.avg(value).alias(value))
+    """Unweighted means of the months from the first to the last of the data;
+    a month without any is there for each of ``keys``, with a missing value."""
+    found = df.groupBy(*keys, F.year(when).alias("year"), F.month(when).alias("month")).agg(F.avg(value).alias(value))
+    ends = df.agg(F.trunc(F.min(when), "month").alias("a"), F.trunc(F.max(when), "month").alias("b")).where(F.col("a").isNotNull())
+    months = ends.select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("at")).select(F.year("at").alias("year"), F.month("at").alias("month"))
+    # a list of months is small; it meets each key once
+    spine = df.select(*keys).distinct().join(F.broadcast(months), F.lit(True)) if keys else months
+    return spine.join(found, [*keys, "year", "month"], "left")
 
 
 def seasonal_mean(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

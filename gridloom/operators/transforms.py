@@ -60,16 +60,28 @@ def depth_gradient(df: DataFrame, keys: list[str], value: str = "value", depth:
     return df.groupBy(*keys).agg(F.regr_slope(value, depth).alias("slope"))
 
 
-def frozen_ground(layers: DataFrame, keys: list[str], limit: float, value: str = "value") -> DataFrame:
-    """Per cell, whether some layer stays below ``limit`` for two consecutive
-    years (``extent``), and the thickness of the layers that don't (``active``,
-    only within the extent).  ``layers`` has year, depth and dz."""
-    annual = layers.groupBy(*keys, "depth", "dz", "year").agg((F.max(value) < limit).alias("frozen"))
+def frozen_ground(layers: DataFrame, keys: list[str], limit: float, deepest: float = 3.5, value: str = "value") -> DataFrame:
+    """Per cell and year: whether some layer above ``deepest`` stays below
+    ``limit`` in that year and the next one of the data (``extent``), and the
+    thickness of the whole layers there that don't in that year (``active``,
+    only within the extent).  ``layers`` has year, depth (centres) and dz; a
+    layer without values isn't frozen."""
+    met = layers.where(F.col("depth") - F.col("dz") / 2 < deepest)
+    annual = met.groupBy(*keys, "depth", "dz", "year").agg(F.coalesce(F.max(value) < limit, F.lit(False)).alias("frozen"))
+    years = layers.select("year").distinct().select("year", F.lead("year").over(Window.orderBy("year")).alias("next"))
     along = Window.partitionBy(*keys, "depth").orderBy("year")
-    twice = annual.withColumn("both", F.col("frozen") & F.coalesce(F.lead("frozen").over(along), F.lit(False)))
-    layer = twice.groupBy(*keys, "depth", "dz").agg(F.bool_or("both").alias("both"))
-    out = layer.groupBy(*keys).agg(F.bool_or("both").alias("extent"), F.sum(F.when(~F.col("both"), F.col("dz")).otherwise(0.0)).alias("active"))
-    return out.withColumn("active", F.when(F.col("extent"), F.col("active")))
+    follows = F.coalesce((F.lead("year").over(along) == F.col("next")) & F.lead("frozen").over(along), F.lit(False))
+    twice = annual.join(F.broadcast(years), "year").withColumn("both", F.col("frozen") & follows)
+    whole = F.col("depth") + F.col("dz") / 2 <= deepest
+    axis = met.select("depth", "dz").distinct().where(whole).agg(F.coalesce(F.sum("dz"), F.lit(0.0)).alias("t")).scalar()
+    out = twice.groupBy(*keys, "year").agg(F.bool_or("both").alias("extent"), F.sum(F.when(F.col("frozen") & whole, F.col("dz")).otherwise(0.0)).alias("frozen"))
+    return out.select(*keys, "year", "extent", F.when(F.col("extent"), axis - F.col("frozen")).alias("active"))
+
+
+def permafrost(layers: DataFrame, keys: list[str], limit: float, deepest: float = 3.5, value: str = "value") -> DataFrame:
+    """Per cell: 1 where the ground of some year is permafrost, else missing."""
+    found = frozen_ground(layers, keys, limit, deepest, value).groupBy(*keys).agg(F.bool_or("extent").alias("any"))
+    return found.select(*keys, F.when(F.col("any"), 1.0).alias("extent"))
 
 
 def ocean_heat(df: DataFrame, volume: Column, value: str = "value") -> DataFrame:
@@ -79,9 +91,9 @@ def ocean_heat(df: DataFrame, volume: Column, value: str = "value") -> DataFrame
     return monthly.join(F.broadcast(first), F.lit(True)).groupBy("year").agg(F.avg(F.col("heat") - F.col("first")).alias("value"))
 
 
-def overturning_maximum(df: DataFrame, basin: int, lat_idx: int, value: str = "value") -> DataFrame:
-    """The maximum over depth in a basin at a latitude."""
-    return df.where((F.col("basin") == basin) & (F.col("lat_idx") == lat_idx)).groupBy("year", "month").agg(F.max(value).alias("value"))
+def overturning_maximum(df: DataFrame, basin: int = 0, lat: float = 26.5, value: str = "value") -> DataFrame:
+    """The maximum over depth in a basin at the latitude nearest to ``lat``."""
+    return select_nearest(df, "lat", lat).where(F.col("basin") == basin).groupBy("year", "month").agg(F.max(value).alias("value"))
 
 
 def interval_select(axis: DataFrame, lo: float, hi: float, name: str = "lat") -> DataFrame:

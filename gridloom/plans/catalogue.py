@@ -117,14 +117,19 @@ def integrate_space_weighted(spark, d):
     return reduce.integrate(_bias(spark, d).where(F.col("score").isNotNull()), [], cubes.area() * F.col("ref"), value="score").withColumnRenamed("score", "value")
 
 
-@query("SELECT lat_idx, lon_idx, year, month, round(avg(value), 6) AS value FROM lay GROUP BY ALL")
+def _thickness():
+    """Layers that thicken downwards, in metres."""
+    return F.lit(0.1) * F.col("depth_idx") * F.col("depth_idx")
+
+
+@query("SELECT lat_idx, lon_idx, year, month, round(sum(value * 0.1::DOUBLE * depth_idx * depth_idx) / sum(0.1::DOUBLE * depth_idx * depth_idx), 6) AS value FROM lay GROUP BY ALL")
 def integrate_depth_mean(spark, d):
-    return reduce.integrate(cubes.grid(spark, d, "F", layered=True), [*CELL, "year", "month"], F.lit(1.0))
+    return reduce.integrate(cubes.grid(spark, d, "F", layered=True), [*CELL, "year", "month"], _thickness())
 
 
-@query("SELECT lat_idx, lon_idx, year, month, round(sum(value), 6) AS value FROM lay GROUP BY ALL")
+@query("SELECT lat_idx, lon_idx, year, month, round(sum(value * 0.1::DOUBLE * depth_idx * depth_idx), 6) AS value FROM lay GROUP BY ALL")
 def integrate_depth_sum(spark, d):
-    return reduce.integrate(cubes.grid(spark, d, "F", layered=True), [*CELL, "year", "month"], F.lit(1.0), mean=False)
+    return reduce.integrate(cubes.grid(spark, d, "F", layered=True), [*CELL, "year", "month"], _thickness(), mean=False)
 
 
 @query("SELECT (lat_idx // 3)::INT AS lat_idx, (lon_idx // 3)::INT AS lon_idx, year, month, round(sum(value * a) / sum(a), 6) AS value FROM r JOIN areas USING (lat_idx) GROUP BY lat_idx // 3, lon_idx // 3, year, month")
@@ -184,11 +189,25 @@ def annual_mean(spark, d):
     return resample.annual_mean(_ref(spark, d), CELL)
 
 
-@query("SELECT user_id, year(ts)::INT AS year, month(ts)::INT AS month, round(avg(value), 6) AS value FROM events GROUP BY ALL", cte=False)
+def _monthly_sql(rows: str) -> str:
+    """All months from the first to the last of the rows for every user."""
+    return f"""WITH e AS ({rows}), m AS (SELECT unnest(generate_series(date_trunc('month', min(ts)), date_trunc('month', max(ts)), INTERVAL 1 MONTH)) AS mo FROM e),
+v AS (SELECT user_id, date_trunc('month', ts) AS mo, avg(value) AS value FROM e GROUP BY ALL)
+SELECT user_id, year(mo)::INT AS year, month(mo)::INT AS month, round(value, 6) AS value FROM (SELECT DISTINCT user_id FROM e) CROSS JOIN m LEFT JOIN v USING (user_id, mo)"""
+
+
+@query(_monthly_sql("SELECT user_id, ts, value FROM events"), cte=False)
 def monthly_mean(spark, d):
     return resample.monthly_mean(spark.read.parquet(f"{d}/events.parquet"), ["user_id"], "ts")
 
 
+@query(_monthly_sql("SELECT c_nationkey AS user_id, o_orderdate AS ts, o_totalprice AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE (year(o_orderdate) * 12 + month(o_orderdate)) % 5 < 3"), cte=False)
+def monthly_mean_gaps(spark, d):
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    rows = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).where((F.year("o_orderdate") * 12 + F.month("o_orderdate")) % 5 < 3)
+    return resample.monthly_mean(rows.select(F.col("c_nationkey").alias("user_id"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("value")), ["user_id"], "ts")
+
+
 _SEASONAL = "SELECT lat_idx, lon_idx, season, year + (month = 12)::INT AS season_year, value, d, month FROM r JOIN seasons USING (month)"
 
 
@@ -323,35 +342,84 @@ def neighbors_box(spark, d):
     return _pairs(spark, d, False).groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_PAIRS + "SELECT site_id, round(arg_min(value, dist * 100000 + id), 6) AS value, round(min(dist), 6) AS distance FROM p WHERE dist <= 25 GROUP BY ALL")
+def _site_list(spark, d):
+    return _site_means(spark, d).select("site_id", "lat", "lon")
+
+
+_NEAREST = "SELECT s.site_id, round(v, 6) AS value, round(dist, 6) AS distance FROM s LEFT JOIN (SELECT site_id, arg_min(value, dist * 100000 + id) AS v, min(dist) AS dist FROM p WHERE value IS NOT NULL AND {} GROUP BY ALL) USING (site_id)"
+
+
+@query(_PAIRS + _NEAREST.format("dist <= 25"))
 def closest_site(spark, d):
-    return align.closest(_pairs(spark, d, True), "site_id", "value")
+    return align.closest(_pairs(spark, d, True), _site_list(spark, d), "site_id", "value")
+
+
+_GAPS = _PAIRS.replace("-170e0 + 20 * lon_idx AS lon, value FROM rm", "-170e0 + 20 * lon_idx AS lon, CASE WHEN (lat_idx + lon_idx) % 3 = 0 THEN value END AS value FROM rm")
+
+
+def _gappy_pairs(spark, d):
+    """Two of three cells miss their values, and sites reach 12 degrees only."""
+    pairs = _pairs(spark, d, True, 12.0)
+    return pairs.withColumn("src_value", F.when((F.floor(F.col("src_id") / 18) + F.col("src_id") % 18) % 3 == 0, F.col("src_value")))
+
+
+@query(_GAPS + _NEAREST.format("dist <= 12"))
+def closest_site_gaps(spark, d):
+    return align.closest(_gappy_pairs(spark, d), _site_list(spark, d), "site_id", "value")
+
+
+_HOOD_MEAN = """, h AS (SELECT site_id, value AS v, {} AS w FROM p WHERE {} AND value IS NOT NULL), m AS (SELECT site_id, sum(v * w) / sum(w) AS m FROM h GROUP BY ALL),
+k AS (SELECT site_id, any_value(m) AS value, sqrt(sum(w * (v - m) ** 2) / sum(w)) AS std FROM h JOIN m USING (site_id) GROUP BY ALL)
+SELECT s.site_id, round(value, 6) AS value, round(std, 6) AS std FROM s LEFT JOIN k USING (site_id)"""
 
 
-@query(_PAIRS + "SELECT site_id, round(avg(value), 6) AS value FROM p WHERE dist <= 25 GROUP BY ALL")
+@query(_PAIRS + _HOOD_MEAN.format("1e0", "dist <= 25"))
 def neighborhood_mean(spark, d):
-    return align.neighbourhood_mean(_pairs(spark, d, True), "site_id", "value")
+    return align.neighbourhood_mean(_pairs(spark, d, True), _site_list(spark, d), "site_id", "value")
 
 
-@query(_PAIRS + "SELECT site_id, round(sum(value / greatest(dist, 0.1::DOUBLE)) / sum(1 / greatest(dist, 0.1::DOUBLE)), 6) AS value FROM p WHERE dist <= 25 GROUP BY ALL")
+@query(_PAIRS + _HOOD_MEAN.format("1 / greatest(dist, 0.1::DOUBLE)", "dist <= 25"))
 def neighborhood_weighted_mean(spark, d):
-    return align.neighbourhood_mean(_pairs(spark, d, True), "site_id", "value", weighted=True)
+    return align.neighbourhood_mean(_pairs(spark, d, True), _site_list(spark, d), "site_id", "value", weighted=True)
 
 
-@query("SELECT n_name AS label, site_id, round(avg(value), 6) AS value FROM sites JOIN nation ON n_nationkey = site_id GROUP BY ALL")
+@query(_GAPS + _HOOD_MEAN.format("1e0", "dist <= 12"))
+def neighborhood_mean_gaps(spark, d):
+    return align.neighbourhood_mean(_gappy_pairs(spark, d), _site_list(spark, d), "site_id", "value")
+
+
+@query(_PAIRS + _NEAREST.format("dist <= 25 AND id % 4 = site_id % 4"))
 def match_label(spark, d):
-    names = spark.read.parquet(f"{d}/nation.parquet")
-    return _site_means(spark, d).join(names, F.col("site_id") == F.col("n_nationkey")).select(F.col("n_name").alias("label"), "site_id", "value")
+    pairs = _pairs(spark, d, True).withColumns({"cover": F.col("site_id") % 4, "src_cover": F.col("src_id") % 4})
+    return align.closest(align.match_label(pairs, "cover"), _site_list(spark, d), "site_id", "value")
+
+
+@query(_PAIRS + "SELECT s.site_id, round(v, 6) AS value FROM s LEFT JOIN (SELECT site_id, sum(value / greatest(dist, 0.1::DOUBLE)) / sum(1 / greatest(dist, 0.1::DOUBLE)) AS v FROM p WHERE dy <= 15 AND dx <= 15 AND id % 4 = site_id % 4 GROUP BY ALL) USING (site_id)")
+def extract_sites(spark, d):
+    sources = cubes.cells(reduce.integrate(_ref(spark, d), CELL, days())).select((F.col("lat_idx") * 18 + F.col("lon_idx")).alias("id"), "lat", "lon", "value")
+    sites = _site_list(spark, d).withColumn("cover", F.col("site_id") % 4)
+    return align.extract_sites(sites, sources.withColumn("cover", F.col("id") % 4), "weighted_mean", 15.0, circle=False, label="cover")
 
 
 # regions
 
 
 _BOXES = ", ".join(f"('{k}', {s}::DOUBLE, {n}::DOUBLE, {w}::DOUBLE, {e}::DOUBLE)" for k, _, s, n, w, e in regions.BOXES)
-_IN_BOX = f"WITH box(region, s, n, w, e) AS (VALUES {_BOXES})\n"
+#: The points of a grid nearest to both edges of a box hold its cells; ties go to the larger coordinate.
+_NEAR = "(SELECT p FROM (SELECT {} AS p FROM range({}) t(i)) ORDER BY abs(p - {}), p DESC LIMIT 1)"
+_LAT, _LON = ("-80e0 + 20 * i", 9), ("-170e0 + 20 * i", 18)
+_IN_BOX = f"""WITH edges(region, es, en, ew, ee) AS (VALUES {_BOXES}),
+box AS (SELECT region, es, en, ew, ee, {_NEAR.format(*_LAT, "es")} AS s, {_NEAR.format(*_LAT, "en")} AS n, {_NEAR.format(*_LON, "ew")} AS w, {_NEAR.format(*_LON, "ee")} AS e FROM edges)
+"""
 _HELD = "-80 + 20 * lat_idx BETWEEN s AND n AND -170 + 20 * lon_idx BETWEEN w AND e"
 
 
+@query(_IN_BOX + f"SELECT lat_idx, lon_idx, round(CASE WHEN {_HELD} THEN value END, 6) AS value FROM rm, box WHERE region = 'tena'")
+def region_mask_untrimmed(spark, d):
+    cells = cubes.cells(reduce.integrate(_ref(spark, d), CELL, days()))
+    return regions.Regions().mask(cells, "tena", trim=False).select(*CELL, "value")
+
+
 @query(_IN_BOX + f"SELECT region, round(sum(value * a) / sum(a), 6) AS value, count(*) AS cells FROM rm JOIN areas USING (lat_idx) JOIN box ON {_HELD} GROUP BY ALL")
 def region_mask_box(spark, d):
     held = regions.in_box(cubes.cells(reduce.integrate(_ref(spark, d), CELL, days())), regions.boxes(spark))
@@ -386,13 +454,24 @@ def depth_gradient(spark, d):
     return transforms.depth_gradient(m.withColumn("depth", F.col("depth_idx") - 0.5), CELL)
 
 
-@query("""WITH y AS (SELECT lat_idx, lon_idx, depth_idx, year, max(value) < 45 AS frozen FROM lay GROUP BY ALL),
-t AS (SELECT *, frozen AND coalesce(lead(frozen) OVER (PARTITION BY lat_idx, lon_idx, depth_idx ORDER BY year), false) AS twice FROM y),
-l AS (SELECT lat_idx, lon_idx, depth_idx, bool_or(twice) AS twice FROM t GROUP BY ALL)
-SELECT lat_idx, lon_idx, bool_or(twice) AS extent, CASE WHEN bool_or(twice) THEN sum(CASE WHEN twice THEN 0e0 ELSE 1e0 END) END AS active FROM l GROUP BY ALL""")
+_FROZEN = """WITH y AS (SELECT lat_idx, lon_idx, depth_idx, year, coalesce(max(value) < 45, false) AS frozen FROM lay WHERE depth_idx - 0.5 < 3.5 GROUP BY ALL),
+t AS (SELECT a.*, a.frozen AND coalesce(b.frozen, false) AS twice FROM y a LEFT JOIN y b ON a.lat_idx = b.lat_idx AND a.lon_idx = b.lon_idx AND a.depth_idx = b.depth_idx AND b.year = (SELECT min(year) FROM lay WHERE year > a.year)),
+k AS (SELECT lat_idx, lon_idx, year, bool_or(twice) AS extent, sum(CASE WHEN frozen THEN 1e0 ELSE 0e0 END) AS hard FROM t GROUP BY ALL)
+"""
+
+
+def _soil(spark, d):
+    return cubes.grid(spark, d, "F", layered=True).withColumn("dz", F.lit(1.0)).withColumnRenamed("depth_idx", "depth")
+
+
+@query(_FROZEN + "SELECT lat_idx, lon_idx, CASE WHEN bool_or(extent) THEN 1e0 END AS extent FROM k GROUP BY ALL")
 def permafrost_extent(spark, d):
-    layers = cubes.grid(spark, d, "F", layered=True).withColumn("dz", F.lit(1.0)).withColumnRenamed("depth_idx", "depth")
-    return transforms.frozen_ground(layers, CELL, 45.0)
+    return transforms.permafrost(_soil(spark, d), CELL, 45.0)
+
+
+@query(_FROZEN + "SELECT lat_idx, lon_idx, year, extent, CASE WHEN extent THEN 3 - hard END AS active FROM k")
+def active_layer_thickness(spark, d):
+    return transforms.frozen_ground(_soil(spark, d), CELL, 45.0)
 
 
 @query("SELECT lat_idx, lon_idx, depth_idx, year, month, round(value / 0.1::DOUBLE / 998.2071::DOUBLE, 6) AS value FROM lay WHERE depth_idx = 1")
@@ -407,9 +486,9 @@ def ocean_heat(spark, d):
     return transforms.ocean_heat(_ref(spark, d), cubes.area() / 1e12)
 
 
-@query("SELECT year, month, round(max(value), 6) AS value FROM lay WHERE lon_idx = 0 AND lat_idx = 5 GROUP BY ALL")
+@query("SELECT year, month, round(max(value), 6) AS value FROM lay WHERE lon_idx = 0 AND lat_idx = (SELECT i FROM range(9) t(i) ORDER BY abs(-80 + 20 * i - 26.5), i DESC LIMIT 1) GROUP BY ALL")
 def amoc_max(spark, d):
-    return transforms.overturning_maximum(cubes.grid(spark, d, "F", layered=True).withColumn("basin", F.col("lon_idx")), 0, 5)
+    return transforms.overturning_maximum(cubes.cells(cubes.grid(spark, d, "F", layered=True)).withColumn("basin", F.col("lon_idx")), 0)
 
 
 # analyses
@@ -424,6 +503,12 @@ def bias_collier(spark, d):
     return _bias(spark, d).agg(*(weighted_mean(F.col(c), cubes.area()).alias(n) for c, n in names.items()), F.count("score").alias("n"))
 
 
+@query("""SELECT lat_idx, lon_idx, round(a.value, 6) AS ref, round(a.value, 6) AS norm, round(cm.value, 6) AS com, round(cm.value - a.value, 6) AS bias, round(exp(-abs(cm.value - a.value) / abs(nullif(a.value, 0))), 6) AS score
+FROM (SELECT * FROM r WHERE year = 1995 AND month = 2) a FULL JOIN cm USING (lat_idx, lon_idx)""")
+def bias_single_step(spark, d):
+    return analyses.bias_maps(_ref(spark, d).where("year = 1995 and month = 2"), _com(spark, d), days())
+
+
 @query("SELECT lat_idx, lon_idx, round(ref, 6) AS ref, round(norm, 6) AS norm, round(com, 6) AS com, round(bias, 6) AS bias, round(score, 6) AS score FROM bias")
 def bias_maps(spark, d):
     return _bias(spark, d)
@@ -453,6 +538,11 @@ def cycle_maps(spark, d):
     return analyses.cycle_maps(_ref(spark, d))
 
 
+@query(_CYCLE + "SELECT lat_idx, lon_idx, CASE WHEN lat_idx > 0 THEN round(amp, 6) END AS amp, CASE WHEN lat_idx > 0 THEN round(amp_std, 6) END AS amp_std, CASE WHEN lat_idx > 0 THEN tmax END AS tmax FROM amp JOIN top USING (st, lat_idx, lon_idx) WHERE st = 'F'")
+def cycle_without_values(spark, d):
+    return analyses.cycle_maps(_ref(spark, d).withColumn("value", F.when(F.col("lat_idx") > 0, F.col("value"))))
+
+
 @query(_CYCLE + """, s AS (SELECT f.lat_idx, f.lon_idx, o.tmax - f.tmax AS d FROM top f JOIN top o ON f.lat_idx = o.lat_idx AND f.lon_idx = o.lon_idx AND f.st = 'F' AND o.st = 'O'),
 w AS (SELECT lat_idx, lon_idx, (CASE WHEN d > 6 THEN d - 12 WHEN d < -6 THEN d + 12 ELSE d END)::INT AS shift FROM s)
 SELECT lat_idx, lon_idx, shift, round(1 - abs(shift) / 6e0, 6) AS score FROM w""")
@@ -489,14 +579,15 @@ def relationship_hist(spark, d):
     return analyses.histogram2d(_points(spark, d))
 
 
-_HELL = """WITH h AS (SELECT st, lat_idx, lon_idx, bin, count(*) / sum(count(*)) OVER (PARTITION BY st, lat_idx, lon_idx)::DOUBLE AS p FROM (SELECT *, floor(value / 2e0)::INT AS bin FROM g) WHERE bin BETWEEN 0 AND 24 GROUP BY st, lat_idx, lon_idx, bin),
+_HELL = """WITH q AS (SELECT min(value) AS lo, max(value) AS hi FROM g),
+h AS (SELECT st, lat_idx, lon_idx, bin, count(*) / sum(count(*)) OVER (PARTITION BY st, lat_idx, lon_idx)::DOUBLE AS p FROM (SELECT g.*, least(24, floor((value - lo) / ((hi - lo) / 25)))::INT AS bin FROM g, q) GROUP BY st, lat_idx, lon_idx, bin),
 u AS (SELECT lat_idx, lon_idx, bin, coalesce(a.p, 0) AS p, coalesce(b.p, 0) AS q FROM (SELECT * FROM h WHERE st = 'F') a FULL JOIN (SELECT * FROM h WHERE st = 'O') b USING (lat_idx, lon_idx, bin))
 """
 
 
 @query(_HELL + "SELECT lat_idx, lon_idx, round(1 - sqrt(sum((sqrt(p) - sqrt(q)) ** 2)) / sqrt(2e0), 6) AS score FROM u GROUP BY ALL")
 def dispersion_hellinger(spark, d):
-    return analyses.hellinger(_ref(spark, d), _com(spark, d), CELL, 0.0, 50.0, 25)
+    return analyses.hellinger(_ref(spark, d), _com(spark, d), CELL)
 
 
 @query("""WITH t AS (SELECT d, sr.value AS r, sc.value AS c FROM sr JOIN sc USING (year, month, d)), m AS (SELECT sum(r * d) / sum(d) AS mr, sum(c * d) / sum(d) AS mc FROM t),

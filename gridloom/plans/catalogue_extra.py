@@ -59,7 +59,7 @@ def bbox_grid_nearest(spark, d):
     return regions.nearest_box(cubes.cells(_means(spark, d)), "lat", -31.0, 50.0).select(*CELL, "value")
 
 
-@query(_IN_BOX + "SELECT region, count(*) AS sites, round(avg(value), 6) AS value FROM (SELECT site_id, lat, lon, avg(value) AS value FROM sites GROUP BY ALL) JOIN box ON lat BETWEEN s AND n AND lon BETWEEN w AND e GROUP BY ALL")
+@query(_IN_BOX + "SELECT region, count(*) AS sites, round(avg(value), 6) AS value FROM (SELECT site_id, lat, lon, avg(value) AS value FROM sites GROUP BY ALL) JOIN box ON lat BETWEEN es AND en AND lon BETWEEN ew AND ee GROUP BY ALL")
 def bbox_sites(spark, d):
     held = regions.in_box(_site_means(spark, d), regions.boxes(spark))
     return held.groupBy("region").agg(F.count(F.lit(1)).alias("sites"), F.avg("value").alias("value"))
@@ -97,7 +97,7 @@ def region_mask_raster(spark, d):
     return known.mask(_means(spark, d), "n1", trim=False)
 
 
-@query(_IN_BOX + f"SELECT lat_idx, lon_idx, round(sum(n - s), 6) AS value FROM rm LEFT JOIN box ON {_HELD} GROUP BY ALL")
+@query(_IN_BOX + f"SELECT lat_idx, lon_idx, round(sum(en - es), 6) AS value FROM rm LEFT JOIN box ON {_HELD} GROUP BY ALL")
 def quantile_map(spark, d):
     boxes = regions.boxes(spark)
     database = boxes.select(F.lit("da").alias("variable"), "region", F.lit(70).alias("quantile"), F.lit("bias").alias("type"), (F.col("north") - F.col("south")).alias("value"))
