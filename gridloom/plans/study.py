@@ -1,8 +1,9 @@
 """Studies: blocks of a reference, models, transforms and analyses.
 
-Transforms take and give a cube; analyses take both cubes and give maps by
-cell.  Both are looked up by name, and users add theirs with ``transform`` and
-``analysis``.
+Transforms take and give a cube.  Analyses take both cubes' values and give maps
+by cell, whose means by region are the scalars; those that aren't maps take a
+``Block`` and give scalars.  All are looked up by name, and users add theirs
+with ``transform``, ``analysis`` and ``scalar_analysis``.
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import expressions
 from gridloom.functions.measures import month_days, weighted_mean
-from gridloom.functions.units import convert
-from gridloom.operators import align, analyses, reduce, transforms
+from gridloom.functions.units import conversion, convert
+from gridloom.operators import align, analyses, reduce, resample, runoff, transforms
 from gridloom.operators.regions import Regions
 from gridloom.sources import sinks
 from gridloom.sources.catalog import AXES, INDEX, Catalog, MissingVariable, load_comparison, load_reference, read_study, units_of, with_units
 
 TRANSFORMS: dict[str, Callable[..., DataFrame]] = {}
 ANALYSES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
-DEFAULT_ANALYSES = ("Bias", "RMSE", "Annual Cycle")
+SCALAR_ANALYSES: dict[str, Callable[[Block], DataFrame]] = {}
+DEFAULT_ANALYSES = ("Bias", "RMSE", "Annual Cycle", "Spatial Distribution")
 CELL = ["lat_idx", "lon_idx"]
 
 
@@ -38,6 +40,29 @@ def analysis(name: str):
     return lambda f: ANALYSES.setdefault(name, f)
 
 
+def scalar_analysis(name: str):
+    return lambda f: SCALAR_ANALYSES.setdefault(name, f)
+
+
+class AnalysisNotAppropriate(ValueError):
+    """The datasets are not such as an analysis is for; it is left out."""
+
+
+@dataclass(frozen=True)
+class Block:
+    """What analyses that give scalars (region, name, type, value) work on:
+    both whole cubes and, at common months and in one unit, both values."""
+
+    ref: DataFrame
+    com: DataFrame
+    ref_value: DataFrame
+    com_value: DataFrame
+    variable: str
+    units: str
+    related: tuple[str, ...]
+    settings: Settings
+
+
 @dataclass(frozen=True)
 class Settings:
     """Parameters of a study; ``dataclasses.replace`` gives changed ones."""
@@ -87,8 +112,9 @@ def select_time(df, vmin=None, vmax=None):
 
 @transform
 def mask_condition(df, condition):
-    name, op, right = expressions.condition(condition)
-    return transforms.mask_where(df, op, float(right), name) if name in df.columns else df
+    """Values that meet a condition, in its unit if it has one, become missing."""
+    name, held = _holds(df, condition)
+    return df.withColumn(name, F.when(~F.coalesce(held, F.lit(False)), F.col(name))).withMetadata(name, df.schema[name].metadata) if name in df.columns else df
 
 
 @transform
@@ -127,6 +153,145 @@ def soil_moisture_to_vol_fraction(df, varname="mrsos"):
     return df.withColumn(varname, transforms.volume_fraction(F.col(varname), F.col("dz") if "dz" in df.columns else F.lit(0.1))) if varname in df.columns else df
 
 
+def _cells(df: DataFrame, *gone: str) -> list[str]:
+    """The index and axis columns of a cube less ``gone`` and the times."""
+    return [c for c in (*INDEX, *AXES) if c in df.columns and c not in {"time_idx", "year", "month", "days", *gone}]
+
+
+@transform
+def depth_gradient(df, varname):
+    """The slope along depth of the variable's mean in time, in its unit per metre."""
+    if not {"depth", "dz", varname} <= set(df.columns):
+        return df
+    units = units_of(df, varname)
+    mean = integrate_time(df, varname, mean=True) if "month" in df.columns else df
+    out = transforms.depth_gradient(mean, _cells(df, "depth", "depth_idx", "dz"), varname, "depth")
+    return with_units(out.withColumnRenamed("slope", varname), varname, f"{units} m-1")
+
+
+@transform
+def quantile(df, varname, quantiles, dims=("time",)):
+    """``varname``_quantile, a row for each of ``quantiles`` over ``dims``."""
+    if varname not in df.columns:
+        return df
+    gone = {"time": {"time_idx", "year", "month", "days"}, "lat": {"lat", "lat_idx"}, "lon": {"lon", "lon_idx"}, "depth": {"depth", "depth_idx", "dz"}, "site": {"site_id"}}
+    dims, at = [dims] if isinstance(dims, str) else dims, quantiles if isinstance(quantiles, list) else [quantiles]
+    lost = set().union(*(gone[d] for d in dims), {"area"} if {"lat", "lon"} & set(dims) else set())
+    keys = [c for c in (*INDEX, *AXES) if c in df.columns and c not in lost]
+    return reduce.quantiles(df, keys, [float(q) for q in at], varname).withColumnRenamed(varname, f"{varname}_quantile")
+
+
+def _holds(df: DataFrame, cond: str):
+    """A condition like ``pr >= 1 [mm/day]`` over the variable's own unit, and the variable."""
+    name, op, right = expressions.condition(cond)
+    if name not in df.columns:
+        return name, F.lit(False)
+    limit, units = expressions.quantity(right) if "[" in right else (float(right), None)
+    value = convert(F.col(name), units_of(df, name), units) if units else F.col(name)
+    return name, transforms.COMPARE[op](value, F.lit(limit))
+
+
+@transform
+def agg_time_on_condition(df, condname, cond, agg="sum", freq="yr"):
+    name, held = _holds(df, cond)
+    if name not in df.columns or condname in df.columns:
+        return df
+    keys = [*_cells(df), "year", *(["month"] if freq in ("mon", "month") else [])]
+    return resample.on_condition(df, keys, held, agg).withColumnRenamed("value", condname)
+
+
+@transform
+def daily_threshold_index(df, condname, cond, daily_reduction="mean"):
+    """Days a month on which the daily value meets ``cond``; cubes with a
+    ``time`` of days or finer steps only."""
+    name, _ = _holds(df, cond)
+    if name not in df.columns or condname in df.columns or "time" not in df.columns:
+        return df
+    units = units_of(df, name)
+
+    daily = df.groupBy(*_cells(df), F.to_date("time").alias("day")).agg(resample.REDUCTIONS[daily_reduction](name).alias(name))
+    met = _holds(with_units(daily, name, units), cond)[1]
+    out = daily.groupBy(*_cells(df), F.year("day").alias("year"), F.month("day").alias("month"))
+    return out.agg(F.sum(F.coalesce(met, F.lit(False)).cast("int")).cast("double").alias(condname))
+
+
+def _counted(name: str, cond: str, reduction: str):
+    def count(df, condname=name, cond=cond, daily_reduction=reduction):
+        return daily_threshold_index(df, condname, cond, daily_reduction)
+
+    TRANSFORMS[f"count_{name}"] = count
+
+
+#: Variables, conditions and daily reductions of the indices.
+for _name, _cond, _how in (
+    ("wet_days", "pr >= 1 [mm/day]", "mean"), ("summer_days", "tasmax >= 25 [degC]", "max"), ("ice_days", "tasmax < 0 [degC]", "max"),
+    ("tropical_nights", "tasmin > 20 [degC]", "min"), ("frost_days", "tasmin < 0 [degC]", "min"),
+):
+    _counted(_name, _cond, _how)
+
+
+@transform
+def permafrost_extent(df, method="slater2013", varname="tsl", threshold=0.0, depth_max=3.5):
+    """1 where the ground of some year is permafrost (``threshold`` in degC)."""
+    if not {varname, "depth", "dz"} <= set(df.columns):
+        return df
+    cold = df.withColumn("value", convert(F.col(varname), units_of(df, varname), "degC"))
+    return transforms.permafrost(cold, _cells(df, "depth", "depth_idx", "dz"), threshold, depth_max).withColumnRenamed("extent", "permafrost_extent")
+
+
+@transform
+def active_layer_thickness(df, method="slater2013", varname="tsl", threshold=0.0, depth_max=3.5):
+    """By year, the thickness of what thaws over permafrost."""
+    if not {varname, "depth", "dz"} <= set(df.columns):
+        return df
+    cold = df.withColumn("value", convert(F.col(varname), units_of(df, varname), "degC"))
+    found = transforms.frozen_ground(cold, _cells(df, "depth", "depth_idx", "dz"), threshold, depth_max)
+    return with_units(found.drop("extent").withColumnRenamed("active", "active_layer_thickness"), "active_layer_thickness", "m")
+
+
+@transform
+def ocean_heat_content(df, reference_year=None):
+    """``ohc`` in ZJ, by year, from thetao and volcello."""
+    if not {"thetao", "volcello"} <= set(df.columns):
+        return df
+    since = df.where(F.col("year") >= reference_year) if reference_year else df
+    out = transforms.ocean_heat(since, F.col("volcello") / 1e21, "thetao")
+    return with_units(out.withColumnRenamed("value", "ohc"), "ohc", "ZJ")
+
+
+@transform
+def msftmz_to_rapid(df, basin=0, lat=26.5):
+    """``amoc`` in Sv: the largest overturning over depth near the latitude."""
+    if not {"msftmz", "basin", "lat"} <= set(df.columns):
+        return df
+    moved = df.withColumn("value", F.col("msftmz") / 1026.0 / 1e6 if units_of(df, "msftmz") == "kg s-1" else F.col("msftmz"))
+    return with_units(transforms.overturning_maximum(moved, basin, lat).withColumnRenamed("value", "amoc"), "amoc", "Sv")
+
+
+@transform
+def apply_label(df, label, key="label"):
+    """``key`` of the cell of ``label`` (lat, lon, ``key``; a DataFrame) that is
+    nearest to each cell or site."""
+    if not {"lat", "lon"} <= set(df.columns):
+        return df
+    near = df.select("lat", "lon").distinct()
+    for axis in ("lat", "lon"):
+        points = label.select(F.col(axis).alias(f"{axis}_of")).distinct()
+        gap = F.min(F.struct(F.abs(F.col(axis) - F.col(f"{axis}_of")).alias("gap"), (-F.col(f"{axis}_of")).alias("minus")))
+        held = df.select(axis).distinct().join(points, F.lit(True)).groupBy(axis).agg((-gap["minus"]).alias(f"{axis}_of"))
+        near = near.join(held, axis)
+    found = near.join(label.select(F.col("lat").alias("lat_of"), F.col("lon").alias("lon_of"), key), ["lat_of", "lon_of"], "left")
+    return df.join(found.select("lat", "lon", key), ["lat", "lon"], "left")
+
+
+@transform
+def runoff_sensitivity(df, width=5):
+    """The sensitivities of runoff by basin; see ``operators.runoff``."""
+    if not {"mrro", "tas", "pr", "basin", "area"} <= set(df.columns):
+        return df
+    return runoff.sensitivity(df, month_days(F.col("month")), F.col("area"), width)
+
+
 # analyses
 
 
@@ -152,6 +317,97 @@ def hydro(ref, com):
     return analyses.hydro_scores(ref, com).groupBy(*CELL).agg(F.avg(F.when(F.col("period") == "annual", F.col("score"))).alias("Annual Mean Score"))
 
 
+def _enough_years(df: DataFrame, least: int) -> None:
+    if df.select("year").distinct().limit(least).count() < least:
+        raise AnalysisNotAppropriate(f"fewer than {least} years")
+
+
+@analysis("Dispersion")
+def dispersion(ref, com):
+    _enough_years(ref, 10)
+    return analyses.hellinger(ref, com, CELL).select(*CELL, F.col("score").alias("Dispersion Score"))
+
+
+def _listed(row: DataFrame, names: Mapping[str, tuple[str, str]], region) -> DataFrame:
+    """A row's columns as (region, name, type, value)."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(kind).alias("type"), F.col(c).cast("double").alias("value")) for c, (n, kind) in names.items()))).alias("s")
+    region = region if not isinstance(region, str | None) else F.lit("None" if region is None else region)
+    return row.select(region.alias("region"), each).select("region", "s.*")
+
+
+@scalar_analysis("Spatial Distribution")
+def spatial_distribution(block):
+    weight = month_days(F.col("month"))
+    mean = lambda df, name: reduce.integrate(df, CELL, weight).withColumnRenamed("value", name)
+    both = mean(block.ref_value, "ref").join(mean(block.com_value, "com"), CELL, "full_outer").join(block.ref_value.select(*CELL, "lat", "lon").distinct(), CELL)
+    names = {"std": ("Normalized Standard Deviation", "scalar"), "corr": ("Correlation", "scalar"), "score": ("Spatial Distribution Score", "score")}
+    known = block.settings.known
+    return folded(DataFrame.unionByName, (_listed(analyses.spatial_distribution(known.mask(both, x), []), names, x) for x in block.settings.regions))
+
+
+@scalar_analysis("Relationship")
+def relationships(block):
+    """The response to each related variable, by region."""
+    out = []
+    for name in block.related:
+        if not {name, block.variable} <= set(block.ref.columns) & set(block.com.columns):
+            continue
+        for region in block.settings.regions:
+            points = lambda df, x=region, n=name: block.settings.known.mask(df, x).select(F.col(n).alias("ind"), F.col(block.variable).alias("dep")).dropna()
+            out.append(_listed(analyses.relationship_score(points(block.ref), points(block.com)), {"score": (f"{block.variable}/{name} Score", "score")}, region))
+    if not out:
+        raise AnalysisNotAppropriate("no related variable")
+    return folded(DataFrame.unionByName, out)
+
+
+def _total(df: DataFrame) -> DataFrame:
+    """A series: cubes of cells are summed over their areas."""
+    if "area" not in df.columns:
+        return df
+    return reduce.integrate(df, ["year", "month"], F.col("area"), mean=False)
+
+
+@scalar_analysis("Time Series")
+def timeseries(block):
+    if "lat_idx" in block.ref_value.columns:
+        raise AnalysisNotAppropriate("only for series")
+    names = {"ref_mean": ("Reference Mean", "scalar"), "com_mean": ("Period Mean", "scalar"), "std": ("Normalized Standard Deviation", "scalar"), "corr": ("Correlation", "scalar"), "bias_score": ("Bias Score", "score"), "taylor_score": ("Taylor Score", "score")}
+    return _listed(analyses.timeseries_scores(block.ref_value, block.com_value, month_days(F.col("month"))), names, None)
+
+
+@scalar_analysis("Net Biome Production")
+def nbp(block):
+    """Of carbon lost by the land, in Pg yr-1; scored at the last common year."""
+    units = f"{block.units} m2" if "area" in block.ref_value.columns else block.units
+    factor = -conversion(units, "Pg yr-1")[0]
+    yearly = lambda df: resample.annual_mean(_total(df).withColumn("value", F.col("value") * factor), [])
+    ref, com = yearly(block.ref_value), yearly(block.com_value)
+    last = ref.join(com, "year", "left_semi").agg(F.max("year")).first()[0]
+    if last is None:
+        raise AnalysisNotAppropriate("no common year")
+    ref = ref.withColumns({"lo": F.col("value"), "hi": F.col("value")})
+    return _listed(analyses.balance_scores(ref, com, last), {"difference_score": ("Difference Score", "score"), "trajectory_score": ("Trajectory Score", "score")}, None)
+
+
+@scalar_analysis("Area")
+def area(block):
+    """Areas in Mm2 where a variable is there at all (above 0)."""
+    held = lambda df: df.groupBy(*CELL, "area").agg(F.max(F.coalesce(F.col("value") > 0, F.lit(False))).alias("held"))
+    out = analyses.area_overlap(held(block.ref_value), held(block.com_value), F.col("area") / 1e12, [*CELL, "area"])
+    names = {"overlap": ("Overlap Area", "scalar"), "missed": ("Missed Area", "scalar"), "excess": ("Excess Area", "scalar"), "missed_score": ("Missed Score", "score"), "excess_score": ("Excess Score", "score")}
+    return _listed(out, names, None)
+
+
+@scalar_analysis("Runoff Sensitivity")
+def runoff_scores(block):
+    """By basin: biases, uncertainties and scores of both sensitivities."""
+    if "r2" not in block.ref.columns or "r2" not in block.com.columns:
+        raise AnalysisNotAppropriate("needs the transform runoff_sensitivity")
+    scores = runoff.sensitivity_scores(block.ref, block.com)
+    names = {f"{v}_{k}": (f"{v} Sensitivity {k.title()}", "score" if k == "score" else "scalar") for v in ("tas", "pr") for k in ("bias", "uncertainty", "score")}
+    return _listed(scores, names, F.col("basin"))
+
+
 def _as_value(df: DataFrame, variable: str, units: str | None = None) -> DataFrame:
     """The variable as ``value``, in ``units``."""
     own = units_of(df, variable)
@@ -173,9 +429,10 @@ def regional_scalars(maps: DataFrame, cells: DataFrame, source: str, name: str,
     return rows.select(F.lit(source).alias("source"), "region", F.lit(name).alias("analysis"), "name", kind.alias("type"), "value")
 
 
-def run_block(ref: DataFrame, models: Mapping[str, DataFrame], variable: str, chosen=DEFAULT_ANALYSES, steps: list[Mapping] = (), settings: Settings | None = None) -> DataFrame:
+def run_block(ref: DataFrame, models: Mapping[str, DataFrame], variable: str, chosen=DEFAULT_ANALYSES, steps: list[Mapping] = (), settings: Settings | None = None, related: tuple[str, ...] = ()) -> DataFrame:
     """Scalars of all models against one reference, on the same grid: months
-    that both have, the reference's unit, and the overall score appended."""
+    that both have, the reference's unit, and the overall score appended.
+    Analyses that the datasets are not for are left out."""
     settings = settings or Settings()
 
     def prepared(df: DataFrame) -> DataFrame:
@@ -189,12 +446,25 @@ def run_block(ref: DataFrame, models: Mapping[str, DataFrame], variable: str, ch
     ref = prepared(ref)
     units, out = units_of(ref, variable), []
     ref_value = _as_value(ref, variable)
-    cells = ref_value.select(*CELL, "lat", "lon", "area").distinct()
+    cells = ref_value.select(*CELL, "lat", "lon", "area").distinct() if "area" in ref_value.columns and "lat_idx" in ref_value.columns else None
     for source, cube in models.items():
-        a, b = align.trim_time(ref_value, _as_value(prepared(cube), variable, units))
-        out += [regional_scalars(ANALYSES[name](a, b), cells, source, name, settings) for name in chosen]
+        cube = prepared(cube)
+        a, b = ref_value, _as_value(cube, variable, units)
+        if {"year", "month"} <= set(a.columns) & set(b.columns):
+            a, b = align.trim_time(a, b)
+        for name in chosen:
+            try:
+                if name in SCALAR_ANALYSES:
+                    found = SCALAR_ANALYSES[name](Block(ref, cube, a, b, variable, units, tuple(related), settings))
+                    out.append(found.select(F.lit(source).alias("source"), "region", F.lit(name).alias("analysis"), "name", "type", "value"))
+                else:
+                    out.append(regional_scalars(ANALYSES[name](a, b), cells, source, name, settings))
+            except AnalysisNotAppropriate:
+                continue
+    if not out:
+        raise MissingVariable(f"no analysis of {list(chosen)} is for these datasets")
     scalars = folded(DataFrame.unionByName, out)
-    unit = F.when(F.col("type") == "score", "1").when(F.col("name") == "Phase Shift", "months").otherwise(units)
+    unit = F.when((F.col("type") == "score") | F.col("name").isin("Correlation", "Normalized Standard Deviation"), "1").when(F.col("name") == "Phase Shift", "months").when(F.endswith("name", F.lit("Area")), "Mm2").otherwise(units)
     scalars = scalars.withColumn("units", unit).withColumn("name", F.concat("name", F.lit(" ["), unit, F.lit("]")))
     return reduce.overall_score(scalars)
 
@@ -222,7 +492,7 @@ def run_study(spark: SparkSession, path: str, catalog: Catalog, models: DataFram
                 continue
         if not cubes:
             return None
-        scalars = run_block(ref, cubes, variable, setup.get("analyses", DEFAULT_ANALYSES), setup.get("transforms", []), settings)
+        scalars = run_block(ref, cubes, variable, setup.get("analyses", DEFAULT_ANALYSES), setup.get("transforms", []), settings, tuple(related or ()))
         at = f"{out.rstrip('/')}/" + "/".join(headings)
         sinks.write_scalars(scalars, at, "parquet")
         section, name, dataset = (list(headings) + [""] * 3)[:3]
@@ -235,4 +505,4 @@ def run_study(spark: SparkSession, path: str, catalog: Catalog, models: DataFram
     return folded(DataFrame.unionByName, done)
 
 
-__all__ = ["ANALYSES", "TRANSFORMS", "Settings", "analysis", "run_block", "run_study", "transform", "with_units"]
+__all__ = ["ANALYSES", "SCALAR_ANALYSES", "TRANSFORMS", "AnalysisNotAppropriate", "Block", "Settings", "analysis", "run_block", "run_study", "scalar_analysis", "transform", "with_units"]
