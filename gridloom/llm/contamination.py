@@ -120,7 +120,7 @@ def _places(sent, window: int, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, table = sent.value
         tables = wordscan.letters_and_digits()
-        for batch in batches:
+        for batch in wordscan.slices(batches):
             contents, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[tuple] = []
             for first, words, bounds, starts, data in wordscan.scan([x.encode() for x in texts], tables):

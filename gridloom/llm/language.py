@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ _BREAK = re.compile(r"[\W\d_]")
 #: Longest n-gram of the backoff.
 LONGEST = 4
 #: Numbers in the vectors of unseen words that a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Languages whose sampling rates are sent to all tasks; more meet by a shuffle.
 FEW = 10_000
 #: N-grams of a word that are summed at a time.
@@ -75,9 +75,9 @@ class WordFirstModel:
 
     def _forget(self) -> None:
         # rows of remembered words follow those of the known ones, with room to grow
-        self.row = dict(self.words.row)
+        self.row: dict[str, int] = {}
         self.logs = self.words.logs
-        self.most = len(self.row) + REMEMBERED // max(1, len(self.languages))
+        self.most = REMEMBERED // max(1, len(self.languages))
 
     def __getstate__(self):
         return {"languages": self.languages, "words": self.words, "grams": self.grams}
@@ -106,7 +106,7 @@ class WordFirstModel:
             return -1
         if len(word) > SHORT_WORD:
             return None
-        at = len(self.row)
+        at = len(self.words.row) + len(self.row)
         if at == len(self.logs):
             self.logs = np.concatenate([self.logs, np.empty((max(1024, at // 2), len(self.languages)))])
         self.logs[at] = self.backoff(word)
@@ -114,13 +114,15 @@ class WordFirstModel:
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        total, any_letter = np.zeros(len(self.languages)), False
+        total, any_letter, known = np.zeros(len(self.languages)), False, self.words.row
         if not self.languages:
             return UNKNOWN, 0.0
         for part in words(text or ""):
             rows, times = [], []
             for word, n in Counter(part).items():
-                at = self.row.get(word)
+                at = known.get(word)
+                if at is None:
+                    at = self.row.get(word)
                 if at is None and (at := self._row(word)) is None:
                     total += n * self.backoff(word)
                     any_letter = True
@@ -185,10 +187,12 @@ def identify(docs: DataFrame, model: WordFirstModel, text_col: str = "text") ->
     replaced, others are kept whatever their names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.DataFrame([sent.value.predict(x) for x in texts], columns=["lang", "score"])
+            # one text at a time: a batch may be large
+            found = [sent.value.predict(x.as_py()) for x in texts]
+            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang", "score"])
 
     mine = Own(docs)
     out = mine.rows.withColumn("p", predicted(mine[text_col])).withColumns({"lang_pred": F.col("p.lang"), "score": F.col("p.score")})

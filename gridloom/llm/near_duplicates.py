@@ -78,7 +78,7 @@ def prefix_of(shingles: np.ndarray, sketch: np.ndarray, mean: float, percent: in
 def _count_shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        for batch in batches:
+        for batch in wordscan.slices(batches):
             texts = batch.column(0).to_pylist()
             for _, words, bounds, *_ in wordscan.scan([(x or "").encode() for x in texts], wordscan.space_separated()):
                 if len(words) >= size:
@@ -119,7 +119,7 @@ def _describe(sent, size: int, percent: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = sent.value
         mean = float(sketch.mean())
-        for batch in batches:
+        for batch in wordscan.slices(batches):
             digests, counts, matches, prefixes = [], [], [], []
             for shingles in shingle_sets(batch.column(1).to_pylist(), size):
                 m, front = prefix_of(shingles, sketch, mean, percent) if len(shingles) else (0, shingles)
@@ -250,7 +250,7 @@ CELL = ["leader", "low", "high"]
 def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-        for batch in batches:
+        for batch in wordscan.slices(batches):
             for r in batch.to_pylist():
                 mine = (r["leader"], r["low"], r["high"])
                 if mine != key and held:

@@ -107,6 +107,14 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches a few rows at a time: what is made of their texts is freed
+    again before the next ones."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def scan(texts: list[bytes], tables: Tables):
     """Yields (first, hashes, bounds, starts, data) for runs of texts of about
     RUN bytes: text ``first + i`` has the words ``hashes[bounds[i]:bounds[i + 1]]``,
