@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import wordscan
 from gridloom.llm.columns import Own, hot_keys, or_empty, salted_join
-from gridloom.llm.storage import stored
+from gridloom.llm.storage import small_batches, stored
 from gridloom.llm.url_filter import bloom_of, may_contain
 
 SHINGLE = 3
@@ -182,6 +182,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """
     mine = Own(docs)
     spark = docs.sparkSession
+    small_batches(spark)
     places, windows = prefix_windows(benchmark, window, item_id, item_text)
     sizes = sorted({min(SHINGLE, r["size"]) for r in windows.select("size").distinct().collect()})
     sent = spark.sparkContext.broadcast(shingle_filter(windows))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.columns import Own, unit
-from gridloom.llm.storage import stored
+from gridloom.llm.storage import small_batches, stored
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -185,6 +185,7 @@ def identify(docs: DataFrame, model: WordFirstModel, text_col: str = "text") ->
     split a slice at a time, and all n-grams of a long word count.  An empty
     table gives an empty table.  Columns named like the added ones are
     replaced, others are kept whatever their names."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")

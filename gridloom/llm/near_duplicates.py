@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import wordscan
 from gridloom.llm.columns import HOT, hot_keys, salted_join
 from gridloom.llm.components import connected_components
-from gridloom.llm.storage import stored
+from gridloom.llm.storage import small_batches, stored
 from gridloom.llm.url_filter import bloom_of, may_contain
 
 #: The rarity table has a fixed 2**SKETCH_BITS counters, whatever the input.
@@ -344,6 +344,7 @@ def labelled_rows(docs: DataFrame, percent: int, size: int, id_col: str = "doc_i
     without one) and ``root``: binary, equal in the rows of a component, null in
     those that take no part.  Ids may be shared by components, roots aren't."""
     spark = docs.sparkSession
+    small_batches(spark)
     # copies of a text are one text wherever it is looked up
     rep = F.unhex(F.md5(F.col(text_col)))
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.lit(None).cast("string") if key is None else key).alias("key"), rep.alias("rep"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.columns import Own, or_empty
-from gridloom.llm.storage import shared_dir
+from gridloom.llm.storage import shared_dir, small_batches
 
 #: Characters of the chunks whose counts a worker remembers, ENTRY more for each.
 REMEMBERED, ENTRY = 1 << 24, 16
@@ -152,6 +152,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     The tokenizer file is read by the driver and sent along (a few MB).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind, data = Path(tokenizer).suffix, Path(tokenizer).read_bytes()
     version = tokenizer_digest(kind, data)
     cache = cache or default_cache(spark)
