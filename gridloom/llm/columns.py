@@ -49,10 +49,12 @@ class Own:
         self.columns = [f"own{i}" for i in range(len(self.names))]
         self.rows = df.toDF(*self.columns)
 
-    def __getitem__(self, name: str) -> Column:
+    def name_of(self, name: str) -> str:
         lower = [n.lower() for n in self.names]
-        at = self.names.index(name) if name in self.names else lower.index(name.lower())
-        return F.col(self.columns[at])
+        return self.columns[self.names.index(name) if name in self.names else lower.index(name.lower())]
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(self.name_of(name))
 
     def spread(self) -> Column:
         """A hash that deals rows of a key over parts; only rows that agree in

@@ -4,7 +4,9 @@ Rows fall into blocks by hash.  A communication matrix, drawn exactly (see
 ``hypergeometric``), says how many rows of each block go to each shard; rows
 are permuted in their block and dealt by it, exchanged, and permuted again in
 their shard.  A large shard is permuted in cells, which random keys fall into
-and whose sizes are counted, so no task holds a whole shard.
+and whose sizes are counted, so no task holds a whole shard.  Both exchanges
+move rows without their texts, which meet the dealt rows afterwards by digest
+and so move once.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.columns import Own, or_empty, unit
+from gridloom.llm.columns import Own, hot_keys, or_empty, salted_join, unit
 from gridloom.llm.hypergeometric import running, split_tree
 from gridloom.llm.storage import stored
 
@@ -29,7 +31,7 @@ def shard_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     rows_per_cell: int = 64_000,
-    bytes_per_cell: int = 128 << 20,
+    keep_text: bool = True,
 ) -> DataFrame:
     """All columns of ``docs`` and ``size`` long (UTF-8 bytes plus 16),
     ``text_crc32`` long, ``shard`` int, ``slot`` long (gapless from 0).
@@ -39,32 +41,40 @@ def shard_documents(
     hashed like a value.  Repeated rows are numbered and permuted like other
     rows; equal rows may swap their slots.  Rows that repeat an id and text more
     often than a sixteenth of a block are counted, and dealt over all blocks.
-    An empty table gives an empty table.  Texts are carried whole; blocks and
-    cells hold about ``rows_per_cell`` rows and ``bytes_per_cell`` bytes of
-    text, at any size of the table, unless one text is longer.  Columns of
+    An empty table gives an empty table.  Texts are carried whole, however
+    long, copies once; a text that very many rows share is dealt over parts.
+    Blocks and cells hold about ``rows_per_cell`` rows without texts, at any
+    size of the table; without ``keep_text`` the text is left out.  Columns of
     ``docs`` named like the added ones are replaced, others are kept whatever
     their names.
     """
     mine = Own(docs)
+    own_text = mine.name_of(text_col)
     text = or_empty(mine[text_col])
-    size = F.octet_length(text).cast("long") + 16
-    whole = mine.rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    n = whole["rows"]
-    blocks = max(1, math.ceil(n / rows_per_cell), math.ceil(whole["bytes"] / bytes_per_cell))
+    content = F.unhex(F.md5(text)).alias("content")
+    narrow = [*(c for c in mine.columns if c != own_text), "size", "text_crc32", "none", "content"]
+    rows = mine.rows.select(
+        "*",
+        (F.octet_length(text).cast("long") + 16).alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        mine[text_col].isNull().alias("none"),
+        content,
+        F.xxhash64(F.lit(seed), mine[id_col], mine[text_col]).alias("same"),
+    )
+    rows = stored(rows.select(*narrow, "same"), "shard-rows")
+    n = rows.count()
+    blocks = max(1, math.ceil(n / rows_per_cell))
     cells = math.ceil(blocks / shards)
 
-    same = F.xxhash64(F.lit(seed), mine[id_col], mine[text_col])
-    keyed = mine.rows.withColumn("same", same).withColumn("copy", F.lit(None).cast("long"))
+    keyed = rows.withColumn("copy", F.lit(None).cast("long"))
     often = max(1, n // blocks // 16)
     if blocks > 1:
-        hot = stored(mine.rows.groupBy(same.alias("same")).count().where(F.col("count") > often).select("same"), "hot-rows")
+        hot = stored(rows.groupBy("same").count().where(F.col("count") > often).select("same"), "hot-rows")
         n_hot = hot.count()
         if n_hot:
-            keyed = _hot_numbered(keyed, F.broadcast(hot) if n_hot <= FEW else hot, mine.columns, often)
+            keyed = _hot_numbered(keyed, F.broadcast(hot) if n_hot <= FEW else hot, narrow, often)
     place_of = F.coalesce("copy", F.lit(-1).cast("long"))
-    keyed = keyed.select(
-        *mine.columns, size.alias("size"), F.crc32(text).alias("text_crc32"), F.floor(unit(F.xxhash64(F.lit(seed), "same", place_of)) * blocks).cast("int").alias("block"), "same", "copy"
-    )
+    keyed = keyed.select(*narrow, F.floor(unit(F.xxhash64(F.lit(seed), "same", place_of)) * blocks).cast("int").alias("block"), "same", "copy")
     filled = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     sizes = (
         docs.sparkSession.range(blocks)
@@ -83,16 +93,31 @@ def shard_documents(
     numbered = numbered.withColumns({k: F.xxhash64(F.lit(seed + i), "same", "copy") for i, k in ((1, "first"), (2, "again"))}).drop("copy")
     ranked = numbered.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("first", "same", "text_crc32")).cast("long"))
     dealt = ranked.join(matrix, "block").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("rank")))).withColumn("cell", F.floor(unit(F.col("again")) * cells).cast("int"))
-    dealt = dealt.select(*mine.columns, "size", "text_crc32", "shard", "cell", "again", "same")
+    dealt = dealt.select(*narrow, "shard", "cell", "again", "same")
     place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("again", "same", "text_crc32")).cast("long") - 1
     placed = dealt.withColumn("slot", place)
     if cells > 1:
         before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
         counted = dealt.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).select("shard", "cell", F.coalesce(before, F.lit(0)).alias("before"))
         placed = placed.join(stored(counted, "shard-cells"), ["shard", "cell"]).withColumn("slot", F.col("before") + F.col("slot"))
+    if keep_text:
+        counted = rows.groupBy("content").agg(F.count(F.lit(1)).alias("n"))
+        hot = stored(hot_keys(counted, "content", "n", n), "hot-texts")
+        texts = mine.rows.select(content, text.alias("whole")).groupBy("content").agg(F.first("whole").alias("whole"))
+        placed = _with_texts(placed, texts, hot).withColumn(own_text, F.when(~F.col("none"), F.col("whole")))
     return mine.restore(placed, "size", "text_crc32", "shard", "slot")
 
 
+def _with_texts(placed: DataFrame, texts: DataFrame, hot: DataFrame) -> DataFrame:
+    """``placed`` with the ``whole`` text of its ``content``; only the texts of
+    ``hot`` contents, fewer than HOT, go to several parts."""
+    if hot.isEmpty():
+        return placed.join(texts, "content")
+    keys = F.broadcast(hot.select("content"))
+    few, many = ((placed.join(keys, "content", how), texts.join(keys, "content", how)) for how in ("left_anti", "left_semi"))
+    return few[0].join(few[1], "content").unionByName(salted_join(many[0], many[1], "content", hot, F.struct("shard", "slot")))
+
+
 def _hot_numbered(keyed: DataFrame, hot: DataFrame, columns: list[str], often: int) -> DataFrame:
     """``keyed`` with ``copy`` from 0 in the rows whose ``same`` is in ``hot``:
     equal rows are folded to counts where they lie, then spelt out again in

@@ -105,6 +105,12 @@ def test_shards_are_even_and_gapless(docs, rows, per_cell):
     import zlib
 
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
+    placed = Counter((r["doc_id"], r["shard"], r["slot"]) for r in got)
+    whole = out.select("doc_id", "text", "text_crc32", "shard", "slot").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in whole) == Counter((r[0], r[1]) for r in rows)
+    assert all(zlib.crc32((r["text"] or "").encode()) == r["text_crc32"] for r in whole)
+    bare = sharding.shard_documents(docs, shards=7, rows_per_cell=per_cell, keep_text=False)
+    assert "text" not in bare.columns and Counter(tuple(r) for r in bare.select("doc_id", "shard", "slot").collect()) == placed
     by = defaultdict(list)
     for r in got:
         by[r["shard"]].append(r["slot"])
