@@ -237,7 +237,8 @@ def _daily_index(name: str, fold: str, test: str):
 FROM (SELECT user_id, ts::DATE AS day, {fold}(value) - 10 AS v FROM events GROUP BY ALL) GROUP BY ALL""", cte=False)
     def index(spark, d):
         how, condition = resample.DAILY_INDICES[name]
-        return resample.threshold_days(spark.read.parquet(f"{d}/events.parquet").withColumn("value", F.col("value") - 10), ["user_id"], "ts", how, condition)
+        # of the daily value, not of each: the mean of shifted values is rounded otherwise
+        return resample.threshold_days(spark.read.parquet(f"{d}/events.parquet"), ["user_id"], "ts", how, lambda v: condition(v - 10))
 
     _QUERIES[f"count_{name}"], _SQL[f"count_{name}"] = _QUERIES.pop("index"), _SQL.pop("index")
 

@@ -31,3 +31,14 @@ def test_query(spark, duck, name):
     key = lambda r: tuple(str(x) for x in r)
     mine = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=key)
     assert mine == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=key)
+
+
+def test_days_at_the_threshold(spark, tmp_path):
+    days = [(1, 1, [15.45, 6.55]), (1, 2, [15.45, 6.54]), (2, 1, [11.0]), (2, 3, [10.99]), (3, 1, [35.0, 9.99]), (3, 2, [30.0]), (4, 5, [10.0, 10.01])]
+    values = ", ".join(f"({u}, TIMESTAMP '2024-01-0{day} 0{i}:00:00', {v}e0)" for u, day, held in days for i, v in enumerate(held))
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE events AS SELECT * FROM (VALUES {values}) t(user_id, ts, value)")
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    for name in ("count_wet_days", "count_summer_days", "count_ice_days", "count_tropical_nights", "count_frost_days"):
+        got = catalogue.queries()[name](spark, str(tmp_path)).select("user_id", "year", "month", "days").collect()
+        assert sorted(map(tuple, got)) == sorted(con.sql(catalogue.oracle_sql()[name]).fetchall()), name
