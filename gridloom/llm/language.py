@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +59,24 @@ class Frequencies:
             n.append(count)
         seen = np.zeros((len(self.row), len(languages)))
         np.add.at(seen, (at, of), n)
-        self.logs = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * len(self.row))) if at else seen
+        if at:
+            whole = seen.sum(axis=0) + 0.5 * len(self.row)
+            seen += 0.5
+            seen /= whole
+            np.log(seen, out=seen)
+        self.logs = seen
+
+
+class Counted:
+    """(language, unit, n) of an Arrow table with these columns, as often as
+    wanted; a batch at a time is spelt out in Python's objects."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+
+    def __iter__(self) -> Iterator[tuple[str, str, int]]:
+        for batch in self.table.to_batches(max_chunksize=10_000):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
 class WordFirstModel:
@@ -68,7 +86,7 @@ class WordFirstModel:
     of words between ``<`` and ``>``.
     """
 
-    def __init__(self, counts: list[list[tuple[str, str, int]]]):
+    def __init__(self, counts: Sequence[Collection[tuple[str, str, int]] | Counted]):
         self.languages = sorted({lang for lang, _, _ in counts[0]})
         self.words, *self.grams = (Frequencies(c, self.languages) for c in counts)
         self._forget()
@@ -170,10 +188,8 @@ def fit(labelled: DataFrame, rows_per_language: int = 2_000, max_units: int = 40
     counted = listed.groupBy("lang", F.col("u.k").alias("k"), F.col("u.unit").alias("unit")).agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "unit"))
     top = counted.withColumn("rank", rank).where(F.col("rank") <= max_units).orderBy("k", "lang", "unit")
-    counts: list[list[tuple[str, str, int]]] = [[] for _ in range(LONGEST + 1)]
-    for r in top.select("k", "lang", "unit", "n").collect():
-        counts[r["k"]].append((r["lang"], r["unit"], r["n"]))
-    return WordFirstModel(counts)
+    table = top.select("k", "lang", "unit", "n").toArrow()
+    return WordFirstModel([Counted(table.filter(pc.equal(table["k"], k)).drop_columns("k")) for k in range(LONGEST + 1)])
 
 
 def identify(docs: DataFrame, model: WordFirstModel, text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -240,6 +241,18 @@ def test_language_equals_plain_python(spark):
         assert r["lang_pred"] == want[r["doc_id"]][0] and abs(r["score"] - want[r["doc_id"]][1]) < 1e-9
 
 
+def test_learned_units_reach_the_driver_in_columns(spark):
+    """Not as an object a row: those took most of the driver's Python memory."""
+    words_ = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.translate(F.conv(F.col("id") * 20 + i + 100_000, 10, 16), "0123456789ABCDEF", "abcdefghijklmnop")))
+    docs = spark.range(1_500).select(F.col("id").cast("string").alias("doc_id"), words_.alias("text"), F.lit("en").alias("lang"))
+    tracemalloc.start()
+    model = language.fit(docs)
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(model.words.row) == 30_000
+    assert most < 2 * kept, (kept, most)
+
+
 def test_rare_languages_are_learned(spark):
     rng = random.Random(13)
     long_texts = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(300)), "aa") for i in range(60)]

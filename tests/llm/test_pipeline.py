@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import storage
 from tests.llm.test_operators import LOWER, plain_language, words_of
@@ -153,3 +155,39 @@ def test_scratch_deletes_what_was_stored_within(spark):
     assert kept.count() == 3
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
+
+
+def test_stored_tables_release_their_job(spark, monkeypatch):
+    """What Spark holds of a finished job stayed until the driver happened to
+    collect its garbage, and its heap grew till then."""
+    held = spark.sparkContext._jsc.sc().env().blockManager().memoryStore().memoryUsed
+    spark._jvm.System.gc()
+    time.sleep(1)
+    before, after = held(), []
+    with storage.scratch(spark):
+        for i in range(5):
+            monkeypatch.setattr(storage, "_next_release", 0.0, raising=False)
+            storage.stored(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count(), f"released-{i}")
+            time.sleep(1)
+            after.append(held())
+    assert min(after) <= before, (before, after)
+
+
+def test_releases_rest_in_between(monkeypatch):
+    asked = []
+
+    class Spark:
+        class _jvm:
+            class System:
+                @staticmethod
+                def gc():
+                    asked.append(time.monotonic())
+                    time.sleep(0.02)
+
+    monkeypatch.setattr(storage, "_next_release", 0.0)
+    ends = time.monotonic() + 1
+    while time.monotonic() < ends:
+        storage.release(Spark)
+        time.sleep(0.005)
+    assert 2 <= len(asked) <= 3
+    assert asked[1] - asked[0] >= storage.REST * 0.02
